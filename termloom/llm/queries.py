@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, decontaminate, packing
+from termloom.llm import chat, decontaminate, packing, rules, substrings
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op3_bin_completion_packing,
+        rules.op6_rule_ledger,
+        substrings.op7_fingerprint_index_dedup,
         decontaminate.op8_aho_corasick_decontamination,
         chat.op9_event_sourced_chat,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {rules.op6_rule_ledger.__name__: rules.OP6_SQL}
