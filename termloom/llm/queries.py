@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, decontaminate, langid, packing, rules, substrings, toxicity
+from termloom.llm import chat, decontaminate, extract, langid, packing, rules, substrings, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_crf_language_id,
         packing.op3_bin_completion_packing,
+        extract.op4_wrapper_induction,
         toxicity.op5_counterfactual_toxicity,
         rules.op6_rule_ledger,
         substrings.op7_fingerprint_index_dedup,
