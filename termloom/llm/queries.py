@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, decontaminate, extract, langid, packing, rules, substrings, toxicity
+from termloom.llm import chat, decontaminate, extract, jaccard, langid, packing, rules, substrings, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         substrings.op7_fingerprint_index_dedup,
         decontaminate.op8_aho_corasick_decontamination,
         chat.op9_event_sourced_chat,
+        jaccard.op10_jaccard_metric_join,
     )
 }
 

@@ -40,11 +40,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    with np.errstate(over="ignore"):
+        h = h ^ (h >> np.uint64(33))
+        h = h * np.uint64(0xFF51AFD7ED558CCD)
+        h = h ^ (h >> np.uint64(33))
+        h = h * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
 
 
 class Spans:
