@@ -121,6 +121,8 @@ def _automaton_of(shared, window: int):
 
 
 def _scanner(shared, window: int, names: list[str], last: bool):
+    own = ["own"] if "own" in names else []
+
     """Adds one automaton's matches to what earlier ones have found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,25 +155,28 @@ def _scanner(shared, window: int, names: list[str], last: bool):
                             pa.array(hit, pa.int64()),
                             pa.array([ids for _, _, ids in rows], schema.field("item_ids").type),
                             pa.array(spans, schema.field("spans").type),
+                            *map(batch.column, own),
                         ],
-                        schema=schema,
+                        names=[*schema.names, *own],
                     )
                 else:
                     kind = pa.struct([("flat", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))])
                     found = [{"flat": [x for p in iv for x in p], "ids": ids} for _, iv, ids in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id"), batch.column("text"), pa.array(found, kind)],
-                        names=["doc_id", "text", "found"],
+                        [batch.column("doc_id"), batch.column("text"), pa.array(found, kind), *map(batch.column, own)],
+                        names=["doc_id", "text", "found", *own],
                     )
 
     return run
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, *, window: int = 10, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, items: DataFrame, *, window: int = 10, shard_bytes: int = SHARD_BYTES, carry: bool = False
 ) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, item_ids (sorted), spans (original offsets).
 
+    With carry, all columns of the document come along as the struct own.
+
     docs has doc_id and text, items has item_id and text. The items' size is
     measured first: up to shard_bytes they make one automaton; a larger set is
     dealt to as many as needed, through which the documents pass in turn.
@@ -180,13 +185,19 @@ def find_contamination(
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = total // shard_bytes + 1
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    step = "doc_id long, text string, found struct<flat: array<long>, ids: array<long>>"
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *([F.struct(*docs.columns).alias("own")] if carry else []),
+    )
+    own = [out.schema["own"]] if carry else []
+    found = T.StructType([T.StructField("flat", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType()))])
+    step = T.StructType([out.schema["doc_id"], out.schema["text"], T.StructField("found", found), *own])
     for k in range(shards):
         part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         last = k == shards - 1
-        out = out.mapInArrow(_scanner(shared, window, out.columns, last), HITS if last else step)
+        out = out.mapInArrow(_scanner(shared, window, out.columns, last), T.StructType([*HITS, *own]) if last else step)
     return out
 
 

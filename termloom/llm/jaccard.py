@@ -206,7 +206,10 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, key, n_shingles, component_id (the least doc_id reachable by links)."""
+    """Per document: doc_id, key, n_shingles, component_id (the least doc_id reachable by links), group.
+
+    group names the component whatever its ids are; without shingles it is the key.
+    """
     ship(docs.sparkSession)
     docs = keyed(docs)
     profile = written(docs.mapInArrow(_profiler(shingle, percent), PROFILE), "profile")
@@ -229,23 +232,37 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     texts = _only(docs, active.select("key")).select("key", "text").join(active, "key").dropDuplicates(["node"])
     sets = written(texts.select("node", "text").mapInArrow(_setter(shingle), "node long, shingles array<long>"), "sets")
     roots = link_components(members, sets, percent)
-    named = classes.select("node", "first")
+    named = classes.select("node", "first", F.col("node").alias("root"))
     if roots is not None:
-        rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
         least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-        named = rooted.join(least, "root").select("node", F.col("least").alias("first"))
+        named = rooted.join(least, "root").select("node", F.col("least").alias("first"), "root")
     return profile.join(named, "node", "left").select(
         "doc_id",
         "key",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("root", "key").alias("group"),
     )
 
 
+def one_of_each(docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """docs without all but one document of each component: that of least doc_id, then key."""
+    found = written(jaccard_components(docs, shingle=shingle, percent=percent), "components")
+    stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
+    stays = written(stays.select(F.col("m.key").alias("key")), "stays")
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.xxhash64(doc, text).alias("key"))
+    kept = _only(rows, stays)
+    if not found.groupBy("key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("own.*")
+
+
 def op10_jaccard_metric_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of three-word shingles are 90 % alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_components(docs, shingle=3, percent=90).drop("key")
+    return jaccard_components(docs, shingle=3, percent=90).drop("key", "group")
 
 
 def brute_force(docs, shingle: int = SHINGLE, percent: int = PERCENT):

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termloom.llm.words import buffers, mixed, slices, split_words
 from termloom.session import ship
@@ -275,7 +276,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANG) -> Crf:
     return fit(sorted((r[0], r[1]) for r in found.collect() if r[1]))
 
 
-def _predictor(shared):
+def _predictor(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Crf = shared.value
         for whole in batches:
@@ -296,8 +297,8 @@ def _predictor(shared):
                     moved = (np.diff(named) != 0) & (np.diff(text[real]) == 0)
                     switches = np.bincount(text[real][1:][moved], minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(switches)],
-                    names=["doc_id", "lang_pred", "score", "n_switches"],
+                    [*map(batch.column, keep), pa.array(pred, pa.string()), pa.array(score), pa.array(switches)],
+                    names=[*keep, "lang_pred", "score", "n_switches"],
                 )
 
     return run
@@ -308,10 +309,26 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _predictor(shared), "doc_id long, lang_pred string, score double, n_switches long"
+        _predictor(shared, ["doc_id"]), "doc_id long, lang_pred string, score double, n_switches long"
     )
 
 
+def identified(docs: DataFrame, model: Crf) -> DataFrame:
+    """own (all columns of docs, as a struct), lang_pred, score, n_switches; texts are not joined again."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType(
+        [
+            rows.schema["own"],
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("n_switches", T.LongType()),
+        ]
+    )
+    return rows.mapInArrow(_predictor(shared, ["own"]), schema)
+
+
 def _labeller(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Crf = shared.value

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, decontaminate, extract, jaccard, langid, packing, rules, substrings, toxicity
+from termloom.llm import chat, decontaminate, extract, jaccard, langid, lines, packing, rules, substrings, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         langid.op1_crf_language_id,
+        lines.op2_winnow_line_dedup,
         packing.op3_bin_completion_packing,
         extract.op4_wrapper_induction,
         toxicity.op5_counterfactual_toxicity,
@@ -19,4 +20,7 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {rules.op6_rule_ledger.__name__: rules.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    lines.op2_winnow_line_dedup.__name__: lines.OP2_SQL,
+    rules.op6_rule_ledger.__name__: rules.OP6_SQL,
+}
