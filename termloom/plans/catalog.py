@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from termloom.plans import retrieval
+
+QUERIES = dict(retrieval.QUERIES)
+ORACLE_SQL = dict(retrieval.ORACLE_SQL)
 FLAGSHIP = "bm25_top10"
