@@ -76,7 +76,7 @@ def section_tokens(query) -> Column:
 
 
 def sentences(text) -> Column:
-    return F.filter(F.transform(F.split(col(text), r"\."), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(col(text), r"\."), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def word_ngrams(terms, n: int, sep: str = "") -> Column:

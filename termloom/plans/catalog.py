@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from termloom.plans import retrieval
+from termloom.plans import ranking, retrieval
 
-QUERIES = dict(retrieval.QUERIES)
-ORACLE_SQL = dict(retrieval.ORACLE_SQL)
+QUERIES = {**retrieval.QUERIES, **ranking.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **ranking.ORACLE_SQL}
 FLAGSHIP = "bm25_top10"
