@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, *, run: int = MIN_RUN, drop_emptied: bool = Fal
     columns = docs.columns
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
     key = F.xxhash64(doc, text, *[F.col(c) for c in columns if c not in ("doc_id", "text")])
-    keyed = docs.select(F.struct(*columns).alias("own"), doc.alias("doc_id"), text.alias("text"), key.alias("key"))
+    keyed = docs.select(F.struct(*columns).alias("own"), doc.alias("doc_id"), key.alias("key"))
+    text = F.col("own")["text"].cast("string")
     # equal rows are told apart by their number, which is counted among the equal ones alone
     same = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if same.isEmpty():
@@ -89,9 +90,10 @@ def dedup_lines(docs: DataFrame, *, run: int = MIN_RUN, drop_emptied: bool = Fal
     else:
         nth = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
         numbered = written(keyed.withColumn("row", F.xxhash64("key", nth)).drop("key"), "numbered")
-    starts = written(later_repeats(numbered.select("row", "doc_id", "text"), run), "starts")
-    joined = numbered.join(starts, "row", "left")
-    lines = F.split("text", "\n")
+    starts = written(later_repeats(numbered.select("row", "doc_id", text.alias("text")), run), "starts")
+    # one plan at every size: both sides are dealt by row
+    joined = numbered.drop("doc_id").join(starts.hint("merge"), "row", "left")
+    lines = F.split(text, "\n")
     numbered_lines = F.transform(lines, lambda x, i: F.when(_word(x), i))
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))
     placed = joined.where("starts is not null").select(
@@ -106,7 +108,7 @@ def dedup_lines(docs: DataFrame, *, run: int = MIN_RUN, drop_emptied: bool = Fal
     )
     if drop_emptied:
         changed = changed.where("some")
-    untouched = joined.where("starts is null").select("own", "text")
+    untouched = joined.where("starts is null").select("own", text.alias("text"))
     both = untouched.unionByName(changed.select("own", "text"))
     return both.select(*[F.col("text") if c == "text" else F.col("own")[c].alias(c) for c in columns])
 
