@@ -9,9 +9,11 @@ every document is replicated to the regions of all its parts and, because the
 triangle inequality bounds the sizes of linked sets, to those of two neighbouring
 size windows. Within regions, pivots are documents: each member is compared with
 the pivot that it shares most regions with, which joins most groups of copies at
-once; regions that still hold documents of different components take more pivots,
-each compared with every member not yet in its component, until none is left. So
-no link between components is missed, and a group of n copies costs n comparisons.
+once. What regions still hold in different components joins recursively: large
+regions are dealt anew to more parts, of which each set shows only its rarest, and
+regions take pivots until every pair of different components in them was compared,
+by sizes and parity sketches first, which bound the distance, then by their sets.
+So no link between components is missed, and n copies mostly cost n comparisons.
 
 Documents of equal sets are one class throughout; classes are what is joined.
 
@@ -37,9 +39,17 @@ from termloom.llm.words import BASE2, Spans, lower_ascii, mixed, position_in_tex
 from termloom.session import ship, written
 
 SHINGLE, PERCENT = 3, 90
-PROFILE = "doc_id long, key long, n long, node long, check long, parts array<long>"
-#: Pivots of an unresolved region by round, beyond the first; later rounds take eight times as many each.
-PIVOTS = 8
+PROFILE = "doc_id long, key long, n long, node long, check long"
+#: Pivots of an unresolved region in its first round; each later round takes as many times more.
+PIVOTS = 64
+#: Regions with more unresolved classes are dealt anew to finer ones before pivots are taken.
+REGION = 4096
+#: Dealings that are tried for a set with many empty parts.
+SEEDS = 6
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+#: Parts of the finer dealing for each one that a set has to show.
+FINER = 4
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +85,28 @@ def _sums(values: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
+def dealing(percent: int, levels: np.ndarray, meet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: its number of parts, and how many of them a set may leave empty.
+
+    Linked sets agree on more parts than a set within that margin leaves empty, so
+    they agree on one that is not. The margin is somewhat more than the smallest
+    set of the window leaves empty on average.
+    """
+    need = 2 * (100 - percent) * (levels[meet + 1] - 1) // (100 + percent) + 1
+    least, margin = levels[np.maximum(meet - 1, 0)], np.zeros(len(meet), np.int64)
+    for _ in range(12):
+        margin = np.ceil(1.25 * (need + margin) * np.exp(-least / (need + margin))).astype(np.int64) + 2
+        margin = np.minimum(margin, 2 * need + 2)
+    return need + margin, margin
+
+
 def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Region keys of each set, end to end, and where each set's begin."""
+    """Region keys of each set, end to end, and where each set's begin.
+
+    A set that leaves more parts empty than the margin is dealt again with the next
+    seed, and keeps the keys of both: of two linked sets the one that is done first
+    meets the other at that seed. Sets that no seed serves share one region.
+    """
     size = np.diff(bounds)
     docs = np.flatnonzero(size)
     if not len(docs):
@@ -88,62 +118,176 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
     keys, owners = [], []
     for up in (0, 1):
         meet = level + up
-        parts = 2 * (100 - percent) * (levels[meet + 1] - 1) // (100 + percent) + 1
-        base = np.concatenate([[0], np.cumsum(parts)])
-        seeds = [mixed(meet.astype(np.uint64) + np.uint64(s << 32)) for s in (1, 2)]
-        place = [base[owner] + (mixed(sets ^ s[owner]) % parts[owner].astype(np.uint64)).astype(np.int64) for s in seeds]
-        total = [_sums(values, p, base[-1]) for p in place]
-        count = np.bincount(place[0], minlength=base[-1])
-        whose = np.repeat(np.arange(len(docs)), parts)
-        nth = (np.arange(base[-1]) - base[whose]).astype(np.uint64)
-        name = [mixed(t + mixed((nth << np.uint64(8)) + s[whose])) for t, s in zip(total, seeds, strict=True)]
-        full = count > 0
-        keys.append(name[0][full])
-        owners.append(whose[full])
-        # an empty part says nothing: its region is split by the parts of a second dealing
-        for at in np.flatnonzero(~full):
-            d = whose[at]
-            second = name[1][base[d] : base[d + 1]]
-            keys.append(mixed(second + mixed(name[0][at])))
-            owners.append(np.full(len(second), d))
+        parts, margin = dealing(percent, levels, meet)
+        open_ = np.ones(len(docs), bool)
+        for seed in range(1, SEEDS + 1):
+            own = mixed(meet.astype(np.uint64) + np.uint64(seed << 32))
+            take = open_[owner]
+            many = np.where(open_, parts, 0)
+            base = np.concatenate([[0], np.cumsum(many)])
+            who = owner[take]
+            place = base[who] + (mixed(sets[take] ^ own[who]) % parts[who].astype(np.uint64)).astype(np.int64)
+            full = np.bincount(place, minlength=base[-1]) > 0
+            whose = np.repeat(np.arange(len(docs)), many)
+            nth = (np.arange(base[-1]) - base[whose]).astype(np.uint64)
+            name = mixed(_sums(values[take], place, base[-1]) + mixed((nth << np.uint64(8)) + own[whose]))
+            keys.append(name[full])
+            owners.append(whose[full])
+            open_ &= np.bincount(whose[~full], minlength=len(docs)) > margin
+            if not open_.any():
+                break
+        left = np.flatnonzero(open_)
+        keys.append(mixed(meet[left].astype(np.uint64) + np.uint64(255 << 32)))
+        owners.append(left)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return keys[order], np.searchsorted(docs[owners[order]], np.arange(len(size) + 1))
 
 
-def _profiler(k: int, percent: int):
+def fine_parts(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """A finer dealing: set, window, part key, and how many of its rarest parts a set has to show.
+
+    Sets whose difference has at most need - 1 shingles differ in at most so many
+    parts. In any common order of the parts, their first need ones then share one.
+    """
+    size = np.diff(bounds)
+    docs = np.flatnonzero(size)
+    if not len(docs):
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none
+    levels = size_levels(int(size.max()), percent)
+    level = np.searchsorted(levels, size[docs], side="right") - 1
+    owner = np.repeat(np.arange(len(docs)), size[docs])
+    values = mixed(sets ^ np.uint64(0xA0761D6478BD642F))
+    out = []
+    for up in (0, 1):
+        meet = level + up
+        need = 2 * (100 - percent) * (levels[meet + 1] - 1) // (100 + percent) + 1
+        parts = FINER * need
+        base = np.concatenate([[0], np.cumsum(parts)])
+        seed = mixed(meet.astype(np.uint64) + np.uint64(3 << 32))
+        place = base[owner] + (mixed(sets ^ seed[owner]) % parts[owner].astype(np.uint64)).astype(np.int64)
+        whose = np.repeat(np.arange(len(docs)), parts)
+        nth = (np.arange(base[-1]) - base[whose]).astype(np.uint64)
+        key = mixed(_sums(values, place, base[-1]) + mixed((nth << np.uint64(8)) + seed[whose]))
+        out.append((docs[whose], meet[whose], key, need[whose]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _finer(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                lists = batch.column("shingles")
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                values = np.asarray(lists.flatten(), np.int64).view(np.uint64)
+                owner, window, key, need = fine_parts(values, bounds, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node").take(pa.array(owner)),
+                        pa.array(window.astype(np.int32)),
+                        pa.array(signed(key)),
+                        pa.array(need.astype(np.int32)),
+                    ],
+                    names=["node", "window", "part", "need"],
+                )
+
+    return run
+
+
+def refined(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(part, node): regions of unresolved classes, by each one's rarest parts of a finer dealing.
+
+    Copies that differ from a common source by more than the threshold have enough
+    parts of their own to meet nobody; those nearer were joined by their pivot.
+    """
+    fine = written(
+        sets.join(nodes, "node", "left_semi").mapInArrow(_finer(percent), "node long, window int, part long, need int"), "fine"
+    )
+    often = fine.groupBy("part").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node", "window").orderBy("often", "part")
+    rarest = fine.join(often, "part").withColumn("at", F.row_number().over(order))
+    return written(rarest.where("at <= need and often > 1").select("part", "node").distinct(), "members")
+
+
+def _names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
+    size = np.diff(bounds)
+    return mixed(_sums(mixed(sets), np.repeat(np.arange(len(size)), size), len(size)) + size.astype(np.uint64))
+
+
+def _profiler(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets, bounds = shingle_sets(batch.column("text"), k)
                 n = batch.num_rows
                 owner = np.repeat(np.arange(n), np.diff(bounds))
-                one = mixed(_sums(mixed(sets), owner, n) + np.diff(bounds).astype(np.uint64))
-                two = mixed(_sums(mixed(sets ^ np.uint64(0x9E3779B97F4A7C15)), owner, n))
-                keys, at = signatures(sets, bounds, percent)
+                check = mixed(_sums(mixed(sets ^ np.uint64(0x9E3779B97F4A7C15)), owner, n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         batch.column("key"),
                         pa.array(np.diff(bounds)),
-                        pa.array(signed(one)),
-                        pa.array(signed(two)),
-                        pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(keys))),
+                        pa.array(signed(_names(sets, bounds))),
+                        pa.array(signed(check)),
                     ],
-                    names=["doc_id", "key", "n", "node", "check", "parts"],
+                    names=["doc_id", "key", "n", "node", "check"],
                 )
 
     return run
 
 
+def _dealer(k: int, percent: int):
+    """(part, node) of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, limit=1 << 20):
+                sets, bounds = shingle_sets(batch.column("text"), k)
+                keys, at = signatures(sets, bounds, percent)
+                node = np.repeat(_names(sets, bounds), np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(node))], names=["part", "node"])
+
+    return run
+
+
+SET_COLUMNS = ["node", "n", *(f"s{i}" for i in range(SKETCH)), "shingles"]
+SETS = ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in SET_COLUMNS)
+
+
+def parities(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set SKETCH words of parity bits: two sets differ in no more bits than in shingles."""
+    n, bits = len(bounds) - 1, 64 * SKETCH
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    where = owner * bits + (mixed(sets ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(where, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<u8").reshape(n, SKETCH)
+
+
+def near_enough(a: str, b: str, percent: int):
+    """Column: what sizes and sketches of two sets allow; true for every linked pair."""
+    at = lambda t, c: F.col(f"{t}.{c}")
+    differ = sum((F.bit_count(at(a, f"s{i}").bitwiseXOR(at(b, f"s{i}"))) for i in range(1, SKETCH)), F.bit_count(at(a, "s0").bitwiseXOR(at(b, "s0"))))
+    n, m = at(a, "n"), at(b, "n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets, bounds = shingle_sets(batch.column("text"), k)
+                words = parities(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(sets)))],
-                    names=["node", "shingles"],
+                    [
+                        batch.column("node"),
+                        pa.array(np.diff(bounds)),
+                        *(pa.array(signed(np.ascontiguousarray(words[:, i]))) for i in range(SKETCH)),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(sets))),
+                    ],
+                    names=SET_COLUMNS,
                 )
 
     return run
@@ -175,29 +319,39 @@ def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of linked classes, from region members (part, node); None if nothing is linked."""
     links = tested = roots = None
-    pivots = 1
+    pivots = 0
     while True:
         left = written(_unresolved(members, roots), "unresolved")
         if left.isEmpty():
             return roots
-        if links is None and tested is None:
+        if tested is None:
             # each member meets the pivot that it shares most regions with
             pivot = left.groupBy("part").agg(F.min("node").alias("u"))
             near = left.join(pivot, "part").where("node != u").groupBy("node", "u").count()
             pairs = near.groupBy("node").agg(F.max(F.struct("count", "u")).alias("m")).select("m.u", F.col("node").alias("v"))
         else:
-            pivots *= PIVOTS
+            if not pivots:
+                pivots = PIVOTS
+                size = left.groupBy("part").count().withColumn("large", F.col("count") > REGION).drop("count")
+                large = left.join(size.where("large"), "part", "left_semi")
+                if not large.isEmpty():
+                    few = left.join(size.where("large"), "part", "left_anti").select("part", "node")
+                    members = few.unionByName(refined(large.select("node").distinct(), sets, percent)).distinct()
+                    continue
             ranked = left.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("node")))
-            ranked = written(ranked, "ranked")
-            head = ranked.where(F.col("at") <= pivots).select("part", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("at").alias("au"))
+            sketches = sets.drop("shingles")
+            ranked = written(ranked.join(sketches, "node"), "ranked")
+            head = ranked.where(F.col("at") <= pivots)
+            meets = (F.col("x.part") == F.col("y.part")) & (F.col("x.at") > F.col("y.at")) & (F.col("x.root") != F.col("y.root"))
             pairs = (
-                ranked.join(head, "part")
-                .where("at > au and root != ru")
-                .select("u", F.col("node").alias("v"))
+                ranked.alias("x")
+                .join(head.alias("y"), meets & near_enough("x", "y", percent))
+                .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
                 .distinct()
                 .join(tested, ["u", "v"], "left_anti")
             )
             members = ranked.where(F.col("at") > pivots).select("part", "node")
+            pivots *= PIVOTS
         pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = written(verified(pairs, sets, percent), "links")
@@ -212,10 +366,9 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     """
     ship(docs.sparkSession)
     docs = keyed(docs)
-    profile = written(docs.mapInArrow(_profiler(shingle, percent), PROFILE), "profile")
-    real = profile.where("n > 0")
+    profile = written(docs.mapInArrow(_profiler(shingle), PROFILE), "profile")
     classes = written(
-        real.groupBy("node").agg(
+        profile.where("n > 0").groupBy("node").agg(
             F.min("doc_id").alias("first"),
             F.min("key").alias("key"),
             F.min("check").alias("a"),
@@ -225,12 +378,14 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     )
     if not classes.where("a != b").isEmpty():
         raise RuntimeError("two different sets have one 64-bit class hash")
-    parts = real.select("node", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("part")
-    members = written(parts.join(shared, "part", "left_semi").distinct(), "members")
+    # one text of each class is dealt to parts; a part is shared where its next neighbour is another class
+    parts = _only(docs, classes.select("key")).select("text").mapInArrow(_dealer(shingle, percent), "part long, node long")
+    by_part = Window.partitionBy("part").orderBy("node")
+    beside = parts.select("part", "node", F.lag("node").over(by_part).alias("a"), F.lead("node").over(by_part).alias("b"))
+    members = written(beside.where("a != node or b != node").select("part", "node").distinct(), "members")
     active = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key"), "active")
     texts = _only(docs, active.select("key")).select("key", "text").join(active, "key").dropDuplicates(["node"])
-    sets = written(texts.select("node", "text").mapInArrow(_setter(shingle), "node long, shingles array<long>"), "sets")
+    sets = written(texts.select("node", "text").mapInArrow(_setter(shingle), SETS), "sets")
     roots = link_components(members, sets, percent)
     named = classes.select("node", "first", F.col("node").alias("root"))
     if roots is not None:
