@@ -27,6 +27,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -318,7 +319,7 @@ def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of linked classes, from region members (part, node); None if nothing is linked."""
-    links = tested = roots = None
+    tested = roots = None
     pivots = 0
     while True:
         left = written(_unresolved(members, roots), "unresolved")
@@ -355,8 +356,11 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = written(verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        if new.isEmpty():
+            continue
+        # the components so far count as stars, so that new links alone take rounds
+        known = [] if roots is None else [roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))]
+        roots = components(reduce(DataFrame.unionByName, known, new))
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
