@@ -298,9 +298,12 @@ def run_file(spark, d):
 
 @query("SELECT quality || ' qid:' || row_number() OVER (ORDER BY doc_id) % 7 || ' 1:' || toxic || ' 2:' || n_chars || ' #' || source || ' # ' || doc_id || ' PARAGRAPH' AS value FROM documents JOIN labels USING (doc_id) WHERE false")
 def ranklib_schema(spark, d):
-    """The layout of learning-to-rank rows; tests write and read them back."""
-    t = src.table(spark, d, "documents").join(src.table(spark, d, "labels"), "doc_id").where(F.lit(False))
-    f = t.select(F.col("quality").alias("rel"), F.lit(0).alias("qid"), F.array("toxic", "n_chars").alias("features"), F.col("source").alias("name"), F.col("doc_id").alias("id"), F.lit("PARAGRAPH").alias("kind"))
+    """A learning-to-rank row for every labelled document; each source is a query, numbered by name."""
+    t = src.table(spark, d, "documents").join(src.table(spark, d, "labels"), "doc_id")
+    # a row a source, not a row a document, meets in the window
+    qid = t.select("source").distinct().withColumn("qid", F.row_number().over(Window.orderBy("source")))
+    t = t.withColumnRenamed("source", "of").join(qid, F.col("of").eqNullSafe(F.col("source")))
+    f = t.select(F.col("quality").alias("rel"), "qid", F.array("toxic", "n_chars").alias("features"), F.coalesce("source", F.lit("")).alias("name"), F.col("doc_id").alias("id"), F.lit("PARAGRAPH").alias("kind"))
     return sinks.ranklib_lines(f)
 
 

@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-from termloom.plans import retrieval
+from termloom.plans import ranking, retrieval
+from termloom.sources import sinks, tables
 
 
 def tables_of(spark, path, **tables):
@@ -19,3 +20,15 @@ def test_neighbour_postings_need_no_label(spark, tmp_path):
         tf = Counter(text.split())
         want |= {(doc, pos, len(tf), sum(tf.values())) for pos in range(len(text.split("\n")))}
     assert {tuple(r) for r in retrieval.neighbor_unigrams(spark, d).collect()} == want
+
+
+def test_learning_to_rank_rows_of_every_label(spark, tmp_path):
+    docs = [(1, "x", "b", 10), (2, "y", "a", 20), (3, "z", "b", 30), (4, "no label", "c", 40), (5, "w", None, 50)]
+    labels = [(1, 1, 0), (2, 0, 1), (3, 0, 0), (5, 1, 1)]
+    d = tables_of(spark, tmp_path / "in", documents=(docs, "doc_id long, text string, source string, n_chars long"), labels=(labels, "doc_id long, quality int, toxic int"))
+    sinks.write_lines(ranking.ranklib_schema(spark, d), f"{tmp_path}/l")
+    got = {(r["rel"], r["qid"], tuple(r["features"]), r["info"]) for r in tables.read_ranklib(spark, f"{tmp_path}/l").collect()}
+    assert got == {
+        (1, 3, (0.0, 10.0), "b # 1 PARAGRAPH"), (0, 2, (1.0, 20.0), "a # 2 PARAGRAPH"),
+        (0, 3, (0.0, 30.0), "b # 3 PARAGRAPH"), (1, 1, (1.0, 50.0), "# 5 PARAGRAPH"),
+    }
