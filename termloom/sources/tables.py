@@ -25,10 +25,23 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(found).alias("name")).select("page_id", tx.entity_name("name").alias("name"))
 
 
+#: A tag's attributes, to its end; a quoted value may hold the sign that ends a tag.
+_REST = r"""(?:(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*+>)"""
+#: Tags that end a paragraph without </p>: blocks that cannot be in one, and the ends of what may hold one.
+_BLOCK = (
+    "address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|"
+    "main|menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+)
+_PARAGRAPH = rf"(?is)<p(?=[\s/>]){_REST}(.*?)(?=</?(?:{_BLOCK})[\s/>]|\z)"
+
+
 def page_paragraphs(pages: DataFrame) -> DataFrame:
-    """page_id, pos, text: paragraph elements without inner markup."""
-    found = F.regexp_extract_all("html", F.lit(r"<p>([^<]*)</p>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(found).alias("pos", "text"))
+    """page_id, pos, text: paragraph elements, closed or not, without the tags inside them."""
+    shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)(?=[\s/>]).*?</\1\s*>", "")
+    found = F.regexp_extract_all(shown, F.lit(_PARAGRAPH), F.lit(1))
+    broken = lambda x: F.regexp_replace(x, rf"(?i)<br(?=[\s/>]){_REST}", " ")
+    plain = F.transform(found, lambda x: F.regexp_replace(broken(x), rf"</?[a-zA-Z]{_REST}", ""))
+    return pages.select("page_id", F.posexplode(plain).alias("pos", "text"))
 
 
 def headings(pages: DataFrame) -> DataFrame:

@@ -32,3 +32,17 @@ def test_learning_to_rank_rows_of_every_label(spark, tmp_path):
         (1, 3, (0.0, 10.0), "b # 1 PARAGRAPH"), (0, 2, (1.0, 20.0), "a # 2 PARAGRAPH"),
         (0, 3, (0.0, 30.0), "b # 3 PARAGRAPH"), (1, 1, (1.0, 50.0), "# 5 PARAGRAPH"),
     }
+
+
+def test_paragraphs_with_markup_and_without_ends(spark):
+    html = (
+        "<body><pre><p>in pre</p></pre><P class=\"a>b\">one <b>bo</b>ld<br/>line <a href='/x'>link</a></P><p id=it's>two"
+        "<p>three < 3<!-- <p>no -->\n<script>var x = '<b>';</script>more<h2>not this</h2><p></p><param name=x>"
+        "<div><p>four</div>not this<p>five"
+    )
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<b>none</b>")], "page_id long, html string")
+    got = [tuple(r) for r in tables.page_paragraphs(pages).orderBy("page_id", "pos").collect()]
+    texts = ["in pre", "one bold line link", "two", "three < 3\nmore", "", "four", "five"]
+    assert got == [(1, k, x) for k, x in enumerate(texts)]
+    long = spark.createDataFrame([(1, "<p>" + "a <b>b</b> " * 200000 + "</p>")], "page_id long, html string")
+    assert len(tables.page_paragraphs(long).first()["text"].split()) == 400000
