@@ -7,9 +7,11 @@ fingerprints are shuffled at first. Where one occurs more than once, the matches
 extended both ways: all runs of MIN_RUN lines around it are compared, by two hashes
 of their lines, and each but the first (by doc_id, then place) is a later repeat.
 Overlapping repeats grow together to runs of any length, whose lines are deleted.
+A line of LONG_WORDS words or more is a passage of its own: it is a run by itself,
+whatever its neighbours, and its own hash is its fingerprint.
 
 Defined cases: null or empty text has no lines and stays as it is; lines without a
-word are not compared and stay; a text of fewer lines than a run stays; a document
+word are not compared and stay; a text of fewer lines than a run stays but for its long lines; a document
 whose every line is deleted becomes empty, or is dropped on request; of repeated
 rows the first by key stays; a null doc_id sorts first; an empty table gives no
 rows; columns of the input are returned as they were.
@@ -23,56 +25,67 @@ from pyspark.sql import functions as F
 from termloom.session import written
 
 MIN_RUN = 2
+#: Words from which a single line is a run.
+LONG_WORDS = 50
 
 
 def _word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
+def _long(line: Column) -> Column:
+    # so many words have a letter each and a space between
+    return (F.length(line) >= 2 * LONG_WORDS - 1) & (F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= LONG_WORDS)
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the hashes a, b of each line with a word, in order."""
+    """row, doc_id, the hashes a, b of each line with a word, in order, and the places of long lines."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _word)
     one = F.transform(lines, lambda x: F.xxhash64(x))
     two = F.transform(lines, lambda x: F.xxhash64(F.lit(7), x, F.lit("b")))
-    return docs.select("row", "doc_id", one.alias("a"), two.alias("b")).where(F.size("a") >= 1)
+    long = F.filter(F.transform(lines, lambda x, i: F.when(_long(x), i)), lambda i: i.isNotNull())
+    return docs.select("row", "doc_id", one.alias("a"), two.alias("b"), long.alias("long")).where(F.size("a") >= 1)
 
 
 def _windows(df: DataFrame, run: int) -> DataFrame:
-    """Adds win: for each start of run lines, the place of its least hash and that hash."""
-    return df.where(F.size("a") >= run).withColumn(
-        "win",
-        F.transform(
-            F.sequence(F.lit(1), F.size("a") - (run - 1)),
-            lambda i: F.struct(
-                (i - 1).alias("start"),
-                F.array_min(F.slice("a", i, F.lit(run))).alias("print"),
-                (i - 2 + F.array_position(F.slice("a", i, F.lit(run)), F.array_min(F.slice("a", i, F.lit(run))))).alias("at"),
-            ),
-        ),
+    """Adds win: for each start of run lines, the place of its least hash and that hash; long lines are runs of one."""
+    least = lambda i: F.array_min(F.slice("a", i, F.lit(run)))
+    one = lambda start, print_, at, n: F.struct(start.alias("start"), print_.alias("print"), at.alias("at"), F.lit(n).alias("n"))
+    several = F.transform(
+        F.sequence(F.lit(1), F.size("a") - (run - 1)),
+        lambda i: one(i - 1, least(i), (i - 2 + F.array_position(F.slice("a", i, F.lit(run)), least(i))), run),
     )
+    single = F.transform("long", lambda i: one(i, F.xxhash64(F.lit(3), F.get("a", i)), i.cast("long"), 1))
+    some = F.when(F.size("a") >= run, several)
+    return df.where((F.size("a") >= run) | (F.size("long") > 0)).withColumn("win", F.concat(F.coalesce(some, F.array()), single))
 
 
 def later_repeats(docs: DataFrame, run: int = MIN_RUN) -> DataFrame:
-    """(row, starts): starts of runs of lines that occurred earlier, of docs (row, doc_id, text)."""
+    """(row, starts): starts and lengths of runs of lines that occurred earlier, of docs (row, doc_id, text)."""
     hashed = written(_windows(line_hashes(docs), run), "lines")
     prints = hashed.select(F.explode(F.array_distinct(F.transform("win", lambda w: F.struct(w["print"], w["at"])))).alias("p"))
     shared = prints.groupBy("p.print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    line = lambda c, k: F.get(c, F.col("w.start") + k)
+    hashed_run = lambda seed, c: F.when(F.col("w.n") == run, F.xxhash64(F.lit(seed), *[line(c, k) for k in range(run)])).otherwise(
+        F.xxhash64(F.lit(seed + 2), line(c, 0))
+    )
     wide = hashed.select("row", "doc_id", F.explode("win").alias("w"), "a", "b").select(
         "row",
         "doc_id",
         F.col("w.start").alias("start"),
         F.col("w.print").alias("print"),
-        F.xxhash64(F.lit(1), *[F.get("a", F.col("w.start") + k) for k in range(run)]).alias("h1"),
-        F.xxhash64(F.lit(2), *[F.get("b", F.col("w.start") + k) for k in range(run)]).alias("h2"),
+        F.col("w.n").alias("n"),
+        hashed_run(1, "a").alias("h1"),
+        hashed_run(2, "b").alias("h2"),
     )
     met = written(wide.join(shared, "print", "left_semi").drop("print"), "met")
     place = F.struct("doc_id", "row", "start")
-    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("met")).where("met > 1").drop("met")
     return (
         met.join(first, ["h1", "h2"])
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("starts"))
     )
 
 
@@ -95,7 +108,7 @@ def dedup_lines(docs: DataFrame, *, run: int = MIN_RUN, drop_emptied: bool = Fal
     joined = numbered.drop("doc_id").join(starts.hint("merge"), "row", "left")
     lines = F.split(text, "\n")
     numbered_lines = F.transform(lines, lambda x, i: F.when(_word(x), i))
-    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))
+    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     placed = joined.where("starts is not null").select(
         "own",
         F.explode(F.array(F.struct(lines.alias("all"), F.filter(numbered_lines, lambda i: i.isNotNull()).alias("at")))).alias("l"),
@@ -114,7 +127,7 @@ def dedup_lines(docs: DataFrame, *, run: int = MIN_RUN, drop_emptied: bool = Fal
 
 
 def op2_winnow_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with later repeats of runs of two or more lines deleted."""
+    """Every document with later repeats of runs of two or more lines, or of a long line, deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dedup_lines(docs.select("doc_id", "text"))
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _word)
