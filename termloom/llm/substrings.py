@@ -140,6 +140,8 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path or scratch_path(spark, "index"), fanout
         self.runs: list[str] = []
+        #: (docs, prints) of what was judged before: later batches are verified against its contents and texts.
+        self.history: list[tuple[DataFrame, DataFrame]] = []
         self._made = 0
 
     def _store(self, rows: DataFrame) -> str:
@@ -226,7 +228,8 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
     """(key, start, n): n consecutive windows from start that each occur elsewhere too.
 
-    prints are the fingerprints of all that the index holds, docs their texts.
+    prints are fingerprints that the index holds, docs their texts; what it held
+    before is in its history, and counts as elsewhere.
     """
     found = index.merged().where("total > 1")
     occurrences = prints.select("key", F.inline(F.arrays_zip("anchor", "content", "start", "n")))
@@ -237,12 +240,18 @@ def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, w
         "hits",
     )
     sure = hits.where("alike").select("key", "start", "n")
-    mixed_ones = hits.where("not alike")
+    mixed_ones = hits.where("not alike").drop("alike").withColumn("fresh", F.lit(True))
+    if index.history:
+        asked = mixed_ones.select("anchor").distinct()
+        for _, old in index.history:
+            rows = old.select("key", F.inline(F.arrays_zip("anchor", "content", "start", "n"))).join(asked, "anchor", "left_semi")
+            mixed_ones = mixed_ones.unionByName(rows.withColumn("fresh", F.lit(False)))
+        mixed_ones = written(mixed_ones, "mixed")
     kinds = mixed_ones.groupBy("anchor", "content").agg(
         F.count("*").alias("total"), F.min(F.xxhash64("key", "start")).alias("one")
     )
     known = written(mixed_ones.join(kinds, ["anchor", "content"]), "kinds")
-    several = known.where("total > 1").select("key", "start", "n")
+    several = known.where("total > 1 and fresh").select("key", "start", "n")
     read = (
         known.where(F.xxhash64("key", "start") == F.col("one"))
         .select("key", "start", "n", (F.col("total") == 1).alias("alone"))
@@ -250,7 +259,10 @@ def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, w
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "n", "alone")).alias("runs"))
     )
-    texts = _only(keyed(docs), read.select("key")).select("key", "text").dropDuplicates(["key"])
+    texts = _only(keyed(docs), read.select("key")).select("key", "text")
+    for old, _ in index.history:
+        texts = texts.unionByName(_only(keyed(old), read.select("key")).select("key", "text"))
+    texts = texts.dropDuplicates(["key"])
     rows = written(
         texts.join(read, "key").mapInArrow(
             _window_rows(window), "w1 long, w2 long, key long, start int, alone boolean"
@@ -311,6 +323,9 @@ def dedup_substrings(
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256.
 
+    With an index that was used before, windows that earlier calls met count too;
+    docs of those calls are read again where a window has to be compared.
+
     Texts are read again only where a part of them goes: the digests of untouched
     texts are known from the first reading, and that of nothing is a constant.
     """
@@ -321,6 +336,7 @@ def dedup_substrings(
         index.add(prints.where(F.pmod("key", F.lit(batches)) == k))
     index.compact()
     runs = repeated_runs(docs, prints, index, window)
+    index.history.append((docs, prints))
     by_text = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     judged = written(
         prints.select("doc_id", "key", "n_words", "sha256")

@@ -2,7 +2,7 @@
 
 import random
 
-from termloom.llm import lines
+from termloom.llm import lines, substrings
 
 DOCS = "doc_id long, text string"
 
@@ -32,3 +32,21 @@ def test_long_lines_are_runs(spark):
         want.append((d, "\n".join(x for i, x in enumerate(every) if i not in gone)))
     assert dict(want)[2] == "x\ny" and dict(want)[3] == "" and dict(want)[5] == f"z\n{short}"
     assert rows_of(lines.dedup_lines(spark.createDataFrame(docs, DOCS))) == sorted(want, key=repr)
+
+
+def test_batches_meet_the_history_of_an_index(spark):
+    rng = random.Random(7)
+    w = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passages = [w(n) for n in (40, 25, 60)]
+    parts = []
+    for b in range(3):
+        # each passage once a batch, between words of its own
+        parts.append([(10 * b + i, " ".join(w(30) + p + w(30))) for i, p in enumerate(passages)] + [(10 * b + 9, " ".join(w(50)))])
+    parts[2].append(parts[0][0])
+    index, before = substrings.FingerprintIndex(spark), []
+    for part in parts:
+        got = substrings.dedup_substrings(spark.createDataFrame(part, DOCS), window=20, gram=5, index=index)
+        before += part
+        # counted over all batches so far, told of the rows of the last one
+        want = list(substrings.brute_force(before, 20))[-len(part) :]
+        assert rows_of(got) == sorted(want, key=repr)
