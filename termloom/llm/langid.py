@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.words import buffers, mixed, slices, split_words
+from termloom.llm.words import buffers, column_of, mixed, slices, split_words
 from termloom.session import ship
 
 SAMPLE_PER_LANG = 600
@@ -284,7 +284,7 @@ def _predictor(shared, keep: list[str]):
                 n, k = batch.num_rows, len(model.languages)
                 pred, score, switches = [UND] * n, np.zeros(n), np.zeros(n, np.int64)
                 if k:
-                    w, post, letters = model.label(batch.column("text"))
+                    w, post, letters = model.label(column_of(batch))
                     text = np.repeat(np.arange(n), w.counts)
                     real = np.flatnonzero(letters)
                     total = np.stack([np.bincount(text[real], post[real, j], n) for j in range(k)], axis=1)
@@ -314,10 +314,10 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Crf) -> DataFrame:
-    """own (all columns of docs, as a struct), lang_pred, score, n_switches; texts are not joined again."""
+    """own (all columns of docs, as a struct), lang_pred, score, n_switches; each text is sent once, in own."""
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("own"), F.col("text").cast("string").alias("text"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("own"))
     schema = T.StructType(
         [
             rows.schema["own"],

@@ -16,6 +16,7 @@ ignored. Text of any length is cut to pieces, only the first of which may be sho
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -31,75 +32,57 @@ from termloom.session import ship, written
 
 CAPACITY = 2048
 END = 0
-#: Distinct pre-tokens whose ids a worker keeps; beyond it the cache starts again.
-CACHE = 400_000
-#: Hash classes that ranks within a length are counted in, so one length may hold most pieces.
-SALTS = 64
+#: Parts of texts whose ids a worker keeps; beyond it the cache starts again.
+CACHE = 1 << 16
+#: Pieces of one length that are ranked in one task, about; a length has as many hash classes as that needs.
+RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Tokens(dict):
-    """Pre-token to its ids' bytes, by the byte-level BPE of a tokenizers JSON file."""
+    """Parts of texts to their ids' bytes, by a tokenizer of the tokenizers library.
+
+    A text is cut at spaces that stand between two other characters. Byte-level
+    pre-tokenizers begin a token at every such space, and no special string has
+    one, so the ids of the parts are those of the text; common parts are kept.
+    """
 
     def __init__(self, path: str):
-        import json
-
-        import regex
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        chars = dict(zip(map(chr, own), own, strict=True)) | {
-            chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))
-        }
-        special = {t["content"] for t in told.get("added_tokens", [])}
-        ranks = {bytes(map(chars.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in special}
-        #: Fixed value: the pre-token pattern of this family of byte-level vocabularies.
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self._bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self._find = regex.compile(pattern).findall
-
-        self._four = [i.to_bytes(4, "little") for i in range(max(told["model"]["vocab"].values()) + 1)]
-        self._odd = re.compile(r" (?=\s|$)").search
-        self._point = {c: self.encode(c) for c in ".,;:!?"}
-
-    def encode(self, token: str) -> bytes:
-        """Ids of one pre-token."""
-        return b"".join(map(self._four.__getitem__, self._bpe.encode_single_piece(token.encode("utf-8", "replace"))))
-
-    def __missing__(self, word: str) -> bytes:
-        """Ids of a part of a text that begins where a space precedes a word, with the space."""
-        if len(self) >= CACHE:
+        from tokenizers import Tokenizer
+
+        self._made = Tokenizer.from_file(path)
+        # white space and characters that some tables count as such are never cut at
+        self._cut = re.compile(r"(?<=[^\s\u180e\u200b-\u200d\u2060\ufeff]) (?=[^\s\u180e\u200b-\u200d\u2060\ufeff])").split
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        made = self._made.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in made]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        cut = []
+        for text in texts:
+            first, *rest = self._cut(text)
+            cut.append([first, *map(" ".__add__, rest)])
+        fresh = list(set().union(*cut).difference(self))
+        self.update(zip(fresh, self.encoded(fresh), strict=True))
+        out = [b"".join(map(self.__getitem__, parts)) for parts in cut]
+        if len(self) > CACHE:
             self.clear()
-        if word.isalpha():
-            out = self.encode(" " + word)
-        elif word[:-1].isalpha() and word[-1] in self._point:
-            out = self[word[:-1]] + self._point[word[-1]]
         else:
-            out = b"".join(map(self.encode, self._find(" " + word)))
-        if len(word) < 64:
-            self[word] = out
+            for p in fresh:
+                if len(p) >= 32:
+                    del self[p]
         return out
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text.
-
-        The pattern always begins a pre-token at a space before a word, so where
-        no space stands before another white space the parts between spaces are
-        encoded each for itself.
-        """
-        if self._odd(text):
-            return b"".join(map(self.encode, self._find(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.encode, self._find(first)), *map(self.__getitem__, rest)])
-
 
 _tokens: dict[str, Tokens] = {}
 
 
 def tokens_of(path: str) -> Tokens:
     if path not in _tokens:
+        # one thread a worker: Spark runs as many workers as there are cores
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _tokens[path] = Tokens(path)
     return _tokens[path]
 
@@ -115,10 +98,11 @@ def _pieces(path: str, capacity: int):
         tok = tokens_of(path)
         end = np.asarray([END], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=1 << 20):
                 out: list[list[int]] = [[], [], [], [], []]
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = memoryview(tok.ids(text or "") + end)
+                made = tok.ids([t or "" for t in batch.column("text").to_pylist()])
+                for doc, told in zip(batch.column("doc_id").to_pylist(), made, strict=True):
+                    ids = memoryview(told + end)
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                         for column, value in zip(out, (doc, k, start, length, crc), strict=True):
@@ -323,8 +307,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += many * length
         first += times
     places = spark.createDataFrame(rows, "length long, lo long, hi long, first long, many long, at long")
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))
-    salted = pieces.withColumn("_salt", salt)
+    many = spark.createDataFrame([(k, 1 + n // RANKED) for k, n in counts.items()], "length long, _salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), "_salts")
+    # a row a length, of which there are at most as many as a sequence has tokens
+    salted = pieces.join(F.broadcast(many), "length").withColumn("_salt", salt).drop("_salts")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "_salt").count().select(
         "length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")

@@ -125,11 +125,18 @@ def split_words(texts: pa.Array) -> Words:
     return Words(np.asarray(coded.indices, np.int64), coded.dictionary, starts)
 
 
+def column_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """A column of a batch, or of the struct own that carries whole rows."""
+    if column in batch.schema.names:
+        return batch.column(column)
+    return pc.struct_field(batch.column("own"), column)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about limit bytes of text each."""
     if batch.num_rows == 0:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(column_of(batch, column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // limit
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):

@@ -32,12 +32,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a folder of its own is
-    made for the driver's lifetime.
+    Where a session on one machine names none (tests) a folder of its own is made for
+    the driver's lifetime; on a cluster executors would not share it, so that raises.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="termloom-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -45,7 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    """A new place in this application's part of the shared folder, which goes when the application ends."""
+    context = spark.sparkContext
+    root = getattr(context, "_termloom_scratch", None)
+    if root is None:
+        root = context._termloom_scratch = f"{shared_folder(spark)}/termloom/run-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,8 +72,16 @@ def written(df: DataFrame, name: str, path: str | None = None, partition_by: tup
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a Python worker is sent at once; rows of any length are then held in bounded memory.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, whatever their path: once a context, as --py-files does."""
+    """Let Python workers import this package, whatever their path: once a context, as --py-files does.
+
+    Batches sent to them are bounded by bytes, not by rows alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     if getattr(context, "_termloom_shipped", None) is None:
         root = Path(__file__).resolve().parent
