@@ -33,7 +33,7 @@ from termloom.session import ship, written
 CAPACITY = 2048
 END = 0
 #: Parts of texts whose ids a worker keeps; beyond it the cache starts again.
-CACHE = 1 << 16
+CACHE = 1 << 17
 #: Pieces of one length that are ranked in one task, about; a length has as many hash classes as that needs.
 RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,9 +42,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Tokens(dict):
     """Parts of texts to their ids' bytes, by a tokenizer of the tokenizers library.
 
-    A text is cut at spaces that stand between two other characters. Byte-level
-    pre-tokenizers begin a token at every such space, and no special string has
-    one, so the ids of the parts are those of the text; common parts are kept.
+    A text is cut at spaces that stand between two other characters, and between a
+    letter and a mark. The byte-level pre-tokenizer begins a token at each, and no
+    special string has one, so the ids of the parts are those of the text; common
+    parts are kept.
     """
 
     def __init__(self, path: str):
@@ -52,7 +53,8 @@ class Tokens(dict):
 
         self._made = Tokenizer.from_file(path)
         # white space and characters that some tables count as such are never cut at
-        self._cut = re.compile(r"(?<=[^\s\u180e\u200b-\u200d\u2060\ufeff]) (?=[^\s\u180e\u200b-\u200d\u2060\ufeff])").split
+        other = r"[^\s\u180e\u200b-\u200d\u2060\ufeff]"
+        self._cut = re.compile(rf"(?<={other})(?= {other})|(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])").split
 
     def encoded(self, parts: list[str]) -> list[bytes]:
         made = self._made.encode_batch_fast(parts, add_special_tokens=False)
@@ -60,10 +62,7 @@ class Tokens(dict):
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
-        cut = []
-        for text in texts:
-            first, *rest = self._cut(text)
-            cut.append([first, *map(" ".__add__, rest)])
+        cut = list(map(self._cut, texts))
         fresh = list(set().union(*cut).difference(self))
         self.update(zip(fresh, self.encoded(fresh), strict=True))
         out = [b"".join(map(self.__getitem__, parts)) for parts in cut]

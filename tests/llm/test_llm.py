@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips, held-out accuracy and odd tables."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -153,10 +154,30 @@ def test_tokens_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    texts = ["", "a  b\n\n c", "é 123abc \t x ", "it's 'd  x", " lead", "<|endoftext|> x", "Ab.\nCd, e;   f g", "word " * 50]
-    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(packing.tokens_of(packing.tokenizer_path()).ids(text), "<u4").tolist() == e.ids
+    texts = ["", "a  b\n\n c", "é 123abc \t x ", "it's 'd  x", " lead", "<|endoftext|> x", "a<|endoftext|>b <|endoftext|>", "Ab.\nCd, e;   f g", "word " * 50]
+    rng = random.Random(1)
+    signs = [" ", "  ", "a", "'s", "1", "é", "×", "\n", "\x1c", "\u180e", "\u200b", "\ufeff", "\u3000", "\x85", ".", "!", "<|endoftext|>", "中", "\t"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the cache
+        got = packing.tokens_of(packing.tokenizer_path()).ids(texts)
+        for ids, e in zip(got, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids
+
+
+def test_packed_pieces_of_all_documents(spark):
+    """start, length and ids_crc32 of every piece, by the library alone."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for doc, text in docs_of(spark).select("doc_id", "text").collect():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or min(len(ids), 2048)
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            want.append((doc, k, a, b - a, zlib.crc32(np.asarray(ids[a:b], "<u4").tobytes())))
+    got = packing.op3_bin_completion_packing(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32")
+    assert rows_of(got) == sorted(want, key=repr)
 
 
 def test_packing(spark, odd, nothing):
@@ -297,6 +318,23 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.find_contamination(odd, it.limit(0), carry=True).select("own.*").columns == odd.columns
 
 
+def test_many_benchmarks_in_one_session(spark):
+    """No automaton outlives its benchmark, and several automata find what one does."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(3, "a b c d " * 3000), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("own", F.lit("clash"))
+    for k in range(12):
+        items = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))) for i in range(3)] + [(9, "e f g a " * (k % 3) * 1200)]
+        it = spark.createDataFrame(items, "item_id long, text string")
+        found = decontaminate.find_contamination(df, it, window=5, **({"shard_nodes": 150 if k == 3 else 9_000} if k % 4 == 3 else {}))
+        want = [(b[0], b[1], b[2], b[3]) for b in decontaminate.brute_force(docs[:-2], items[:3], 5)] if not k % 3 else None
+        if want:
+            assert rows_of(found.where("doc_id is not null and n_words < 100").select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long"))) == sorted(want, key=repr)
+        made = decontaminate.Matcher(items, 5)
+        want = [(d, n, sum(b - a for a, b in iv), sorted(ids)) for d, t in docs for n, iv, ids in [made.scan(t)]]
+        assert rows_of(found.select("doc_id", "n_words", "n_hit", "item_ids")) == sorted(want, key=repr)
+
+
 def test_decontamination_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in docs_of(spark).collect()]
     items = [tuple(r) for r in docs_of(spark, "benchmark").collect()]
