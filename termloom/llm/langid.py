@@ -37,6 +37,8 @@ SAMPLE_PER_LANG = 600
 SPANS, SPAN = 3, 40
 BITS = 16
 SEGMENT = 128
+#: Bytes of the longest n-gram, and of the longest prefix and suffix with the mark of the word's end.
+NGRAM, AFFIX = 4, 7
 UND = "und"
 
 
@@ -55,7 +57,7 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # ^ word $ with room for the longest n-gram
     span = size + 2
     start = np.concatenate([[0], np.cumsum(span)])
-    text = np.zeros(start[-1] + 4, np.uint64)
+    text = np.zeros(start[-1] + AFFIX, np.uint64)
     word = np.repeat(np.arange(n), span)
     within = np.arange(start[-1]) - np.repeat(start[:-1], span)
     inner = (within > 0) & (within <= size[word])
@@ -66,11 +68,12 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, owner = [], []
     room = span[word] - within
     h = np.zeros(start[-1], np.uint64)
-    for k in range(4):
+    for k in range(AFFIX):
         h = h * np.uint64(0x100000001B3) + text[k : k + start[-1]] + np.uint64(1)
         if k == 0:
             continue
-        ok = room > k
+        # n-grams anywhere, longer ones where a word begins or ends
+        ok = room > k if k < NGRAM else (room == k + 1) | ((within == 0) & (room > k))
         ids.append(mixed(h[ok] + np.uint64(k << 40)))
         owner.append(word[ok])
     whole = np.zeros(n, np.uint64)
@@ -100,9 +103,27 @@ def emissions(words: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     """Posterior of each word's label, for all texts at once; exact for any length."""
+    return forward_backward(scores, starts, transitions, segment)[0]
+
+
+def expected_pairs(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, segment: int = SEGMENT):
+    """Posteriors, and how often each pair of neighbouring labels is expected: the gradient of the partition by transitions."""
+    k = len(transitions)
+    post, alpha, beta, x, m = forward_backward(scores, starts, transitions, segment)
+    inside = np.ones(len(scores), bool)
+    inside[starts[:-1][np.diff(starts) > 0]] = False
+    b = np.flatnonzero(inside)
+    if not len(b):
+        return post, np.zeros((k, k))
+    pair = alpha[b - 1][:, :, None] * m[None] * (x[b] * beta[b])[:, None, :]
+    return post, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+
+
+def forward_backward(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, segment: int):
+    """Posteriors, forward and backward messages (each up to a factor), exponentials of scores and transitions."""
     n, k = scores.shape
     if n == 0:
-        return scores
+        return scores, scores, scores, scores, np.exp(transitions)
     x = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     m = np.exp(transitions - transitions.max()).astype(np.float64)
     begin = np.zeros(n, bool)
@@ -171,7 +192,7 @@ def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, s
         b[:live] /= b[:live].max(axis=1, keepdims=True)
     out = alpha * beta
     out /= out.sum(axis=1, keepdims=True)
-    return out
+    return out, alpha, beta, x, m
 
 
 # -- the model -----------------------------------------------------------------
@@ -224,20 +245,17 @@ def fit(spans: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.08, de
             live = letters[used]
             scores[~live] = 0
             scores = scores[inverse]
-            post = marginals(scores, starts, transitions)
+            post, pairs = expected_pairs(scores, starts, transitions)
             delta = post.copy()
             delta[np.arange(len(gold)), gold] -= 1
             by_word = np.stack([np.bincount(inverse, delta[:, j], len(used)) for j in range(k)], axis=1)
             by_word[~live] = 0
             grad = np.stack([np.bincount(f, by_word[owner, j], 1 << BITS) for j in range(k)], axis=1) / len(codes)
-            # transitions: expected pairs, with neighbours taken as independent given their posteriors
             inside = np.ones(len(gold), bool)
             inside[starts[:-1]] = False
             b = np.flatnonzero(inside)
-            pair = post[b - 1][:, :, None] * np.exp(transitions)[None] * post[b][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
             seen = np.bincount(gold[b - 1] * k + gold[b], minlength=k * k).reshape(k, k)
-            move = (pair.sum(axis=0) - seen) / max(1, len(b))
+            move = (pairs - seen) / max(1, len(b))
             step += 1
             for p, g, (u, v) in ((weights, grad + decay * weights, state[:2]), (transitions, move, state[2:])):
                 u += 0.1 * (g - u)
@@ -250,15 +268,18 @@ def fit(spans: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.08, de
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each sampled text, from places that its id gives."""
     for batch in batches:
-        lang, span = [], []
+        lang, at, span = [], [], []
         for x, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
             words = text.split()
             rng = np.random.default_rng(h & 0xFFFFFFFF)
             for _ in range(SPANS):
                 a = int(rng.integers(0, max(1, len(words) - SPAN + 1)))
                 lang.append(x)
-                span.append(" ".join(w[:64] for w in words[a : a + SPAN]))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(span, pa.string())], names=["lang", "span"])
+                span.append(" ".join(words[a : a + SPAN]))
+                at.append(h)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(at, pa.int64()), pa.array(span, pa.string())], names=["lang", "h", "span"]
+        )
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANG) -> Crf:
@@ -270,10 +291,10 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANG) -> Crf:
     counts = rows.groupBy("lang").count()
     share = counts.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     kept = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    # the hash keeps about per_language rows a language; the limit holds where few ids repeat many times
+    # the hash keeps about per_language rows a language; where few ids repeat many times the least hashes stay
     bound = 2 * per_language * max(1, counts.count())
-    found = kept.select("lang", "h", "text").mapInArrow(_spans, "lang string, span string").limit(bound * SPANS)
-    return fit(sorted((r[0], r[1]) for r in found.collect() if r[1]))
+    found = kept.select("lang", "h", "text").mapInArrow(_spans, "lang string, h long, span string").where("span != ''")
+    return fit(sorted((r[0], r[2]) for r in found.orderBy("h", "lang", "span").limit(bound * SPANS).collect()))
 
 
 def _predictor(shared, keep: list[str]):

@@ -3,9 +3,9 @@
 A text is scored by a logistic model over the rates of its words' features: a
 word, its prefixes, all hashed. Rates make the score independent of length, so a
 long clean text does not collect chance matches. Training takes a bounded sample
-of labelled texts; each sentence there that mentions an identity term is also
-written with another term of the same kind, and the squared change of the score
-is added to the loss, so the mention alone cannot carry weight.
+of labelled texts, whole; each sentence there that mentions an identity term is
+also written with another term of the same kind and language, and the squared
+change of the score is added to the loss, so the mention alone cannot carry weight.
 
 Features are chosen by how far their document frequencies in the two classes are
 apart, in standard errors; the rest have weight 0.
@@ -18,6 +18,8 @@ doc_id is not held out and never trains; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.words import bytes_hash, mixed, slices, split_words
-from termloom.session import ship
+from termloom.session import ship, written
 
 #: Labelled texts that a model is fitted on, at most about twice as many are read.
 SAMPLE = 4_000
-#: Features that one sampled text brings to the driver; a text is sampled by whole
-#: sentences, spread over it, until it has about so many words.
-WORDS_PER_TEXT = 2_000
+#: Where a sentence ends.
+_SENTENCE = re.compile(r"[.!?]+\s|\n").split
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 SMOOTH = 20.0
@@ -67,7 +68,17 @@ IDENTITY = {
         "es": ("africano", "asiático", "europeo", "árabe", "inmigrante"),
     },
 }
-_SWAPS = {t: [x for x in terms if x != t] for kinds in IDENTITY.values() for terms in kinds.values() for t in terms}
+#: Frequent words that tell which language's terms a sentence has.
+_FREQUENT = {
+    "en": frozenset("the and of to a in is that it for are with they this was not have".split()),
+    "de": frozenset("der die und das ist nicht ein eine sind mit den von zu sie auf dem".split()),
+    "fr": frozenset("le la les et des est une un dans que qui ne pas sont du pour".split()),
+    "es": frozenset("el los las y que es una en de no por con son se del para".split()),
+}
+#: For each language, the terms that a term may be swapped with.
+_SWAPS = {
+    lang: {t: [x for x in kinds[lang] if x != t] for kinds in IDENTITY.values() for t in kinds[lang]} for lang in _FREQUENT
+}
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,51 +111,77 @@ def text_rates(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def swapped(sentence: str, pick: int) -> str | None:
-    """The sentence with its identity terms exchanged, None if it has none."""
-    words, found = sentence.split(), False
-    for i, w in enumerate(words):
-        bare = w.strip(".,;:!?\"'()").lower()
-        if bare in _SWAPS:
-            other = _SWAPS[bare][(pick + i) % len(_SWAPS[bare])]
-            words[i], found = w.lower().replace(bare, other), True
-    return " ".join(words) if found else None
-
-
-def _sample_sentences(text: str, h: int) -> str:
-    """The whole text, or sentences spread over it where it is long."""
-    words = text.split()
-    if len(words) <= WORDS_PER_TEXT:
-        return text
-    sentences, out, n = text.replace("\n", ". ").split(". "), [], 0
-    for i in np.random.default_rng(h & 0xFFFFFFFF).permutation(len(sentences)):
-        part = sentences[int(i)].split()[:WORDS_PER_TEXT]
-        out += part
-        n += len(part)
-        if n >= WORDS_PER_TEXT:
-            break
-    return " ".join(out)
-
-
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rates of each sampled text, and of the same text with identity terms swapped."""
+    """The sentence with its identity terms exchanged for others of their kind and language, None if it has none.
+
+    Its language is the one with most frequent words and terms in it, the first of equals.
+    """
+    words = sentence.split()
+    bare = [w.strip(".,;:!?\"'()").lower() for w in words]
+    told = {lang: sum(b in terms for b in bare) for lang, terms in _SWAPS.items()}
+    if not any(told.values()):
+        return None
+    lang = max((x for x in told if told[x]), key=lambda x: told[x] + sum(b in _FREQUENT[x] for b in bare))
+    terms = _SWAPS[lang]
+    return " ".join(w.lower().replace(b, terms[b][(pick + i) % len(terms[b])]) if b in terms else w for i, (w, b) in enumerate(zip(words, bare)))
+
+
+def counterfactuals(text: str, pick: int) -> list[tuple[str, str]]:
+    """Each sentence that has an identity term, and its swapped form."""
+    out = []
+    for k, sentence in enumerate(_SENTENCE(text)):
+        other = swapped(sentence, pick + k)
+        if other is not None:
+            out.append((sentence, other))
+    return out
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each label have a feature, counted a slice of whole texts at a time."""
     for whole in batches:
         for batch in slices(whole, limit=1 << 20):
-            hs = batch.column("h").to_pylist()
-            texts = [_sample_sentences(t or "", h) for t, h in zip(batch.column("text").to_pylist(), hs, strict=True)]
-            other = [swapped(t, h & 0xFF) for t, h in zip(texts, hs, strict=True)]
-            one = text_rates(pa.array(texts, pa.string()))
-            two = text_rates(pa.array([o or "" for o in other], pa.string()))
-            rows = [
-                (y, h, a[0].astype("<i4").tobytes(), a[1].tobytes(), *((b[0].astype("<i4").tobytes(), b[1].tobytes()) if o else (None, None)))
-                for y, h, a, b, o in zip(batch.column("y").to_pylist(), hs, one, two, other, strict=True)
-            ]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            y = batch.column("y").to_pylist()
+            parts = [f for f, _ in text_rates(batch.column("text"))]
+            both = np.concatenate([f * 2 + label for f, label in zip(parts, y, strict=True)])
+            key, n = np.unique(both, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["y", "h", "f", "r", "f2", "r2"]
+                [pa.array((key >> 1).astype(np.int32)), pa.array(np.where(key & 1, 0, n)), pa.array(np.where(key & 1, n, 0))],
+                names=["f", "n0", "n1"],
             )
 
 
+def _rows_of(chosen: np.ndarray):
+    """Rates of the chosen features: a row a text, and one a sentence with an identity term and its swapped form."""
+    at = np.full(1 << BITS, -1)
+    at[chosen] = np.arange(len(chosen))
+
+    def only(found):
+        k = at[found[0]]
+        return k[k >= 0].astype("<i4").tobytes(), found[1][k >= 0].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        for whole in batches:
+            for batch in slices(whole, limit=1 << 20):
+                hs = batch.column("h").to_pylist()
+                rows = [
+                    (y, h, *only(r), None, None) for y, h, r in zip(batch.column("y").to_pylist(), hs, text_rates(batch.column("text")), strict=True)
+                ]
+                pairs = [(h, *p) for t, h in zip(batch.column("text").to_pylist(), hs, strict=True) for p in counterfactuals(t or "", h & 0xFF)]
+                one, two = (text_rates(pa.array([p[k] for p in pairs], pa.string())) for k in (1, 2))
+                # the hash of a pair depends on its words, so the least ones are no one text's
+                rows += [(None, hash_of(p), *only(a), *only(b)) for p, a, b in zip(pairs, one, two, strict=True)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["y", "h", "f", "r", "f2", "r2"]
+                )
+
+    return run
+
+
+def hash_of(pair: tuple) -> int:
+    return zlib.crc32(repr(pair).encode("utf-8", "surrogatepass"))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -165,38 +202,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
-def fit(
-    rows: list[tuple], *, fairness: float = 10.0, ridge: float = 2e-4, apart: float = 4.0, steps: int = 400, most: int = 4_000
-) -> Model:
-    """A model of (label, ids, rates, swapped ids or None, swapped rates)."""
+def choose(found, n0: int, n1: int, *, apart: float = 4.0, most: int = 4_000) -> np.ndarray:
+    """Features, of rows (feature, texts of label 0, of label 1), whose shares differ by so many standard errors."""
+    if not len(found) or not n0 or not n1:
+        return np.zeros(0, np.int64)
+    f, a, b = (np.array(c, float) for c in zip(*found, strict=True))
+    p = (a + b) / (n0 + n1)
+    gap = np.abs(b / n1 - a / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    order = np.lexsort((f, -gap))[:most]
+    return f[order[(gap[order] >= apart)]].astype(np.int64)
+
+
+def fit(rows: list[tuple], pairs: list[tuple], chosen: np.ndarray, *, fairness: float = 10.0, ridge: float = 2e-4, steps: int = 400) -> Model:
+    """A model of rows (label, places, rates) and pairs (places, rates, places, rates); places are in chosen."""
     y = np.array([r[0] for r in rows], float)
     weights = np.zeros(1 << BITS, np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return Model(weights, float(np.log(share / (1 - share))))
     n1, n0 = y.sum(), len(y) - y.sum()
-    df = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for label, f, *_ in rows:
-        df[int(label)][f] += 1
-    p = (df[0] + df[1]) / len(y)
-    gap = (df[1] / n1 - df[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((df[0] + df[1] >= 3) & (np.abs(gap) >= apart))
-    chosen = chosen[np.argsort(-np.abs(gap[chosen]), kind="stable")[:most]]
     if not len(chosen):
         return Model(weights, float(np.log(n1 / n0)))
-    at = np.full(1 << BITS, -1)
-    at[chosen] = np.arange(len(chosen))
 
     def matrix(parts):
         out = np.zeros((len(parts), len(chosen)), np.float32)
-        for i, (f, r) in enumerate(parts):
-            k = at[f]
-            out[i, k[k >= 0]] = r[k >= 0]
+        for i, (k, r) in enumerate(parts):
+            out[i, k] = r
         return out
 
     x = matrix([(r[1], r[2]) for r in rows])
-    pairs = [r for r in rows if r[3] is not None]
-    change = matrix([(r[3], r[4]) for r in pairs]) - matrix([(r[1], r[2]) for r in pairs]) if pairs else x[:0]
+    change = matrix([p[2:4] for p in pairs]) - matrix([p[:2] for p in pairs]) if pairs else x[:0]
     scale = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-4)
     x, change = x / scale, change / scale
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
@@ -216,8 +251,12 @@ def fit(
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
-    """A model of docs (doc_id, text) and labels (doc_id, toxic), from a bounded sample by hash."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, *, apart: float = 4.0, most: int = 4_000, **options) -> Model:
+    """A model of docs (doc_id, text) and labels (doc_id, toxic), from a bounded sample of rows by hash.
+
+    The sampled texts are read whole, twice: to count the features of each label,
+    and for the rates of those that tell the labels apart.
+    """
     ship(docs.sparkSession)
     told = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
@@ -227,21 +266,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
         .withColumn("h", F.xxhash64("doc_id", F.lit(5)))
     )
     share = sample / max(1, told.count())
-    picked = told.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).limit(2 * sample)
+    picked = told.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).orderBy("h", "doc_id").limit(2 * sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = (
-        texts.join(F.broadcast(picked), "doc_id")
-        .select("y", "h", "text")
-        .mapInArrow(_examples, "y int, h long, f binary, r binary, f2 binary, r2 binary")
-        .limit(4 * sample)
-        .collect()
-    )
-    number = lambda raw, kind: None if raw is None else np.frombuffer(raw, kind)
-    found = [
-        (r["y"], number(r["f"], "<i4"), number(r["r"], "<f4"), number(r["f2"], "<i4"), number(r["r2"], "<f4"))
-        for r in sorted(rows, key=lambda r: (r["h"], bytes(r["f"])))
+    # an id with many rows has its least texts, by hash, in the sample
+    rows = texts.join(F.broadcast(picked), "doc_id").select("y", "h", "text")
+    rows = written(rows.orderBy("h", F.xxhash64("text")).limit(4 * sample), "labelled")
+    n = dict(rows.groupBy("y").count().collect())
+    counted = rows.mapInArrow(_frequencies, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    chosen = choose(counted.where("n0 + n1 >= 3").collect(), n.get(0, 0), n.get(1, 0), apart=apart, most=most)
+    seen = rows.mapInArrow(_rows_of(chosen), "y int, h long, f binary, r binary, f2 binary, r2 binary")
+    number = lambda raw, kind: np.frombuffer(raw, kind)
+    found = [(r["y"], number(r["f"], "<i4"), number(r["r"], "<f4")) for r in seen.where("y is not null").orderBy("h", "f", "r").collect()]
+    pairs = [
+        (number(r["f"], "<i4"), number(r["r"], "<f4"), number(r["f2"], "<i4"), number(r["r2"], "<f4"))
+        for r in seen.where("y is null").orderBy("h", "f", "r", "f2").limit(sample).collect()
     ]
-    return fit(found, **options)
+    return fit(found, pairs, chosen, **options)
 
 
 def _scorer(shared):

@@ -62,6 +62,57 @@ def test_marginals_are_exact_at_any_length():
             assert np.allclose(m / m.sum(1, keepdims=True), got[lo:hi], atol=1e-6)
 
 
+def test_transition_gradient_is_that_of_the_likelihood():
+    """Expected pairs equal finite differences of the log partition function."""
+    rng = np.random.default_rng(2)
+    sizes = [0, 6, 1, 9, 3]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    s, t = rng.normal(size=(starts[-1], 3)), rng.normal(size=(3, 3))
+
+    def log_partition(t):
+        total = 0.0
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if hi > lo:
+                a = np.exp(s[lo])
+                for i in range(lo + 1, hi):
+                    a = (a @ np.exp(t)) * np.exp(s[i])
+                total += np.log(a.sum())
+        return total
+
+    post, pairs = langid.expected_pairs(s, starts, t, segment=4)
+    assert np.allclose(post.sum(1), 1)
+    for i in range(3):
+        for j in range(3):
+            e = np.zeros((3, 3))
+            e[i, j] = 1e-5
+            assert abs((log_partition(t + e) - log_partition(t - e)) / 2e-5 - pairs[i, j]) < 1e-4
+
+
+def test_language_query_by_brute_force(spark):
+    """Posteriors of the query's own model, recomputed text by text with plain recursions."""
+    docs = docs_of(spark)
+    model = langid.train(docs.where(~langid.held_out()).where("doc_id is not null").select("doc_id", "text", "lang"))
+    told = {r["doc_id"]: r for r in langid.op1_crf_language_id(spark, SF).collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        words = pa.array((text or "").replace("\x00", " ").split() if (text or "").isascii() else [], pa.string())
+        if not len(words) or len(words) > 300 or any(ord(c) < 32 and c not in "\t\n\v\f\r" for c in text):
+            continue
+        e, letters = langid.emissions(words, model.weights)
+        x, m = np.exp(e.astype(float)), np.exp(model.transitions)
+        al, be = [x[0] / x[0].sum()], [np.ones(x.shape[1])]
+        for i in range(1, len(x)):
+            al.append((al[-1] @ m) * x[i])
+            al[-1] /= al[-1].sum()
+        for i in range(len(x) - 1, 0, -1):
+            be.insert(0, m @ (x[i] * be[0]))
+            be[0] /= be[0].sum()
+        p = np.array(al) * np.array(be)
+        p = (p / p.sum(1, keepdims=True))[letters]
+        if len(p):
+            mean = p.mean(axis=0)
+            assert told[doc]["lang_pred"] == model.languages[mean.argmax()] and abs(told[doc]["score"] - mean.max()) < 1e-5
+
+
 def test_language_id(spark, odd, nothing):
     docs = docs_of(spark)
     model = langid.train(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
@@ -254,12 +305,37 @@ def test_counterfactual_penalty():
         texts.append(" ".join(words))
         labels.append(bad)
     one = toxicity.text_rates(pa.array(texts))
-    other = [toxicity.swapped(t, i) for i, t in enumerate(texts)]
-    two = toxicity.text_rates(pa.array([o or "" for o in other]))
-    rows = [(y, *a, *(b if o else (None, None))) for y, a, b, o in zip(labels, one, two, other, strict=True)]
+    found = Counter()
+    for y, (f, _) in zip(labels, one, strict=True):
+        found.update((int(x), y) for x in f)
+    counts = [(f, found[f, 0], found[f, 1]) for f in sorted({f for f, _ in found}) if found[f, 0] + found[f, 1] >= 3]
+    chosen = toxicity.choose(counts, labels.count(0), labels.count(1))
+    place = {int(f): k for k, f in enumerate(chosen)}
+
+    def only(r):
+        keep = [i for i, f in enumerate(r[0]) if int(f) in place]
+        return np.array([place[int(r[0][i])] for i in keep], int), r[1][keep]
+
+    rows = [(y, *only(r)) for y, r in zip(labels, one, strict=True)]
+    pairs = [(a, b) for i, t in enumerate(texts) for a, b in toxicity.counterfactuals(t, i)]
+    two, three = (toxicity.text_rates(pa.array([p[k] for p in pairs])) for k in (0, 1))
+    told = [(*only(a), *only(b)) for a, b in zip(two, three, strict=True)]
     neutral = pa.array(["the muslim house by the green tree and water", "red scum green scum blue water tree house"])
-    fair, plain = (toxicity.fit(rows, fairness=f).score(neutral) for f in (10.0, 0.0))
+    fair, plain = (toxicity.fit(rows, p, chosen).score(neutral) for p in (told, []))
     assert fair[0] < plain[0] and fair[0] < 0.5 < fair[1]
+    # false positives on neutral mentions, with the penalty and without
+    mentions = pa.array([" ".join(["the", rng.choice(["muslim", "jewish"]), *rng.choices(["red", "green", "blue", "house", "tree", "water"], k=12)]) for _ in range(200)])
+    with_, without = ((toxicity.fit(rows, p, chosen).score(mentions) >= 0.5).mean() for p in (told, []))
+    assert with_ <= without and with_ < 0.05
+
+
+def test_swaps_stay_in_kind_and_language():
+    assert toxicity.swapped("the transgender people and the others", 0).split()[1] in ("women", "men", "nonbinary")
+    assert toxicity.swapped("die transgender und das", 0).split()[1] in ("frauen", "männer", "nichtbinär")
+    assert toxicity.swapped("a bisexual, is it?", 1).split()[1] in ("gay,", "lesbian,", "straight,", "queer,")
+    assert toxicity.swapped("no one", 0) is None
+    two = toxicity.counterfactuals("The men left. Nothing here.\nSome asian food!", 0)
+    assert [a for a, _ in two] == ["The men left", "Some asian food!"] and all(a != b for a, b in two)
 
 
 # 6 ----------------------------------------------------------------------------
