@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.words import column_of, slices
+from termloom.llm.words import column_of, held, slices
 from termloom.session import ship, written
 
 _MAP = bytes(
@@ -122,15 +122,9 @@ def original_spans(text: str, intervals: list[tuple[int, int]]) -> list[tuple[in
     return [(at[a][0], at[b - 1][1]) for a, b in intervals]
 
 
-#: The automaton that a worker used last, by a name that no other broadcast has.
-_held: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, shared, window: int) -> Matcher:
-    if name not in _held:
-        _held.clear()
-        _held[name] = Matcher(shared.value, window)
-    return _held[name]
+    """The automaton of a broadcast, by a name that no other one has."""
+    return held(name, lambda: Matcher(shared.value, window))
 
 
 def _answer(batch: pa.RecordBatch, rows, keep: list[str]) -> pa.RecordBatch:
@@ -246,7 +240,8 @@ def find_contamination(
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = written(items.mapInArrow(_chunks(window), "item_id long, first long, text string, n long"), "items")
     told = parts.agg(F.sum("n").alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    shards = 1 + max((told["words"] or 0) * window // shard_nodes, (told["bytes"] or 0) // shard_bytes)
+    # a node a word at least, and fewer distinct words than there are characters
+    shards = 1 + max((told["words"] or 0) * max(window, 4) // shard_nodes, (told["bytes"] or 0) // shard_bytes)
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("item_id", "first", "text"), F.lit(shards)))
 
     def automaton(k: int):

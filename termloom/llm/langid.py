@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.llm.words import buffers, column_of, mixed, slices, split_words
+from termloom.llm.words import buffers, column_of, held, mixed, slices, split_words
 from termloom.session import ship
 
 SAMPLE_PER_LANG = 600
@@ -297,11 +297,16 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANG) -> Crf:
     return fit(sorted((r[0], r[2]) for r in found.orderBy("h", "lang", "span").limit(bound * SPANS).collect()))
 
 
+#: Text that is labelled at once; some 200 bytes of arrays a byte.
+SLICE = 512 << 10
+
+
 def _predictor(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language ID", object)  # lets go of what other operators keep
         model: Crf = shared.value
         for whole in batches:
-            for batch in slices(whole, limit=2 << 20):
+            for batch in slices(whole, limit=SLICE):
                 n, k = batch.num_rows, len(model.languages)
                 pred, score, switches = [UND] * n, np.zeros(n), np.zeros(n, np.int64)
                 if k:
@@ -354,7 +359,7 @@ def _labeller(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Crf = shared.value
         for whole in batches:
-            for batch in slices(whole, limit=2 << 20):
+            for batch in slices(whole, limit=SLICE):
                 rows = []
                 if model.languages:
                     w, post, _ = model.label(batch.column("text"))

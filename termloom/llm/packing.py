@@ -24,66 +24,122 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.words import slices
+from termloom.llm.words import held, slices
 from termloom.session import ship, written
 
 CAPACITY = 2048
 END = 0
-#: Parts of texts whose ids a worker keeps; beyond it the cache starts again.
-CACHE = 1 << 17
+#: Parts of texts whose ids a worker keeps; beyond it only those met since are.
+CACHE = 1 << 16
 #: Pieces of one length that are ranked in one task, about; a length has as many hash classes as that needs.
 RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Tokens(dict):
-    """Parts of texts to their ids' bytes, by a tokenizer of the tokenizers library.
+#: Characters that some table of white space, or of its neighbours, holds.
+_SPACES = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
+_MARKS = frozenset(".,;:!?")
 
-    A text is cut at spaces that stand between two other characters, and between a
-    letter and a mark. The byte-level pre-tokenizer begins a token at each, and no
-    special string has one, so the ids of the parts are those of the text; common
-    parts are kept.
+
+class Tokens:
+    """Ids of texts by a byte-level tokenizer of the tokenizers library, a slice of texts at a time.
+
+    Such a tokenizer begins a token at every space that no white space follows, and
+    between a letter and a mark; no special string has either. So a text's ids are
+    those of its parts between spaces, each encoded once with the space before it.
+    Texts where white space follows a space are cut only where neither has any.
+    Parts that come again are kept, those of two rounds at most.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._made = Tokenizer.from_file(path)
-        # white space and characters that some tables count as such are never cut at
-        other = r"[^\s\u180e\u200b-\u200d\u2060\ufeff]"
-        self._cut = re.compile(rf"(?<={other})(?= {other})|(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])").split
-
-    def encoded(self, parts: list[str]) -> list[bytes]:
-        made = self._made.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in made]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of whole texts."""
-        cut = list(map(self._cut, texts))
-        fresh = list(set().union(*cut).difference(self))
-        self.update(zip(fresh, self.encoded(fresh), strict=True))
-        out = [b"".join(map(self.__getitem__, parts)) for parts in cut]
-        if len(self) > CACHE:
-            self.clear()
-        else:
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        python = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), _SPACES)
+        self._cut = re.compile(f"(?<=[^{python}])(?= [^{python}])").split
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; they are encoded as one sequence of words, which keeps them apart."""
+        made = self._made.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.asarray(made.ids, "<u4"), np.asarray(made.word_ids, np.int64)
+        edges = (4 * np.searchsorted(of, np.arange(len(parts) + 1))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
+        new, old = self._new, self._old
+        fresh = [p for p in parts if p not in new]
+        met = [p for p in fresh if p in old]
+        new.update(zip(met, map(old.__getitem__, met), strict=True))
+        if len(met) < len(fresh):
+            marked, plain = {}, set()
             for p in fresh:
-                if len(p) >= 32:
-                    del self[p]
+                if p not in old:
+                    if p[-1:] in _MARKS and "a" <= p[-2:-1] <= "z":
+                        marked[p] = p[:-1]
+                        plain.update((p[:-1], p[-1]))
+                    else:
+                        plain.add(p)
+            asked = [p for p in plain if p not in new]
+            new.update(zip(asked, self._encoded(asked), strict=True))
+            for p, base in marked.items():
+                new[p] = new[base] + new[p[-1]]
+        out = list(map(new.__getitem__, parts))
+        if len(new) > CACHE:
+            self._old, self._new = {p: v for p, v in new.items() if len(p) < 32}, {}
         return out
 
-
-_tokens: dict[str, Tokens] = {}
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts, nulls as empty ones."""
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, f" [{_SPACES}]")
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        starts = np.asarray(lists.offsets, np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices, np.int64).copy()
+        distinct = self._of([f" {w}" for w in coded.dictionary.to_pylist()])
+        # the first part of a text has no space before it; an odd text is one part, made of its own
+        first = coded.dictionary.take(coded.indices.take(pa.array(starts[:-1] - starts[0]))).to_pylist()
+        names = sorted(set(first))
+        number = {w: k + len(distinct) for k, w in enumerate(names)}
+        blobs = distinct + self._of(names)
+        heads = np.asarray([number[w] for w in first], np.int64)
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        for t in at.tolist():
+            heads[t] = len(blobs)
+            parts = self._cut(texts[t].as_py())
+            names = list(dict.fromkeys(parts))
+            known = dict(zip(names, self._of(names), strict=True))
+            blobs.append(b"".join(map(known.__getitem__, parts)))
+        starts -= starts[0]
+        codes[starts[:-1]] = heads
+        raw = np.frombuffer(b"".join(blobs), "<u4")
+        size = np.asarray(list(map(len, blobs)), np.int64) // 4
+        begin = np.cumsum(size) - size
+        many = size[codes]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        flat = raw[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], many)].tobytes()
+        edges = (4 * ends[starts]).tolist()
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _made(path: str) -> Tokens:
+    # one thread a worker: Spark runs as many workers as there are cores
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokens(path)
 
 
 def tokens_of(path: str) -> Tokens:
-    if path not in _tokens:
-        # one thread a worker: Spark runs as many workers as there are cores
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+    return held(f"tokens {path}", lambda: _made(path))
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -97,9 +153,9 @@ def _pieces(path: str, capacity: int):
         tok = tokens_of(path)
         end = np.asarray([END], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole, limit=1 << 20):
+            for batch in slices(whole):
                 out: list[list[int]] = [[], [], [], [], []]
-                made = tok.ids([t or "" for t in batch.column("text").to_pylist()])
+                made = tok.ids(batch.column("text"))
                 for doc, told in zip(batch.column("doc_id").to_pylist(), made, strict=True):
                     ids = memoryview(told + end)
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):

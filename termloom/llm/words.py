@@ -7,6 +7,7 @@ arithmetic modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 #: Text that is worked on at once; bounds a worker's memory whatever the batch size.
 SLICE_BYTES = 3 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -89,6 +91,25 @@ def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+_state: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker keeps between tasks for the operator it serves now; that of others goes."""
+    if name not in _state:
+        _state.clear()
+        released()
+        _state[name] = make()
+    return _state[name]
+
+
+def released() -> None:
+    """Give memory that is free back to the system: workers live as long as the application."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 @dataclass
 class Words:
     """The words of some texts: word i of text t is words[codes[starts[t] + i]]."""
@@ -141,6 +162,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(a, b - a)
+    released()
 
 
 def position_in_text(starts: np.ndarray) -> np.ndarray:

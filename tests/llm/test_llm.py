@@ -210,7 +210,7 @@ def test_tokens_are_the_tokenizers_own():
     signs = [" ", "  ", "a", "'s", "1", "é", "×", "\n", "\x1c", "\u180e", "\u200b", "\ufeff", "\u3000", "\x85", ".", "!", "<|endoftext|>", "中", "\t"]
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     for _ in range(2):  # the second time from the cache
-        got = packing.tokens_of(packing.tokenizer_path()).ids(texts)
+        got = packing.tokens_of(packing.tokenizer_path()).ids(pa.array(texts))
         for ids, e in zip(got, t.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == e.ids
 
