@@ -212,27 +212,44 @@ def refined(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rarest.where("at <= need and often > 1").select("part", "node").distinct(), "members")
 
 
-def _names(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
-    size = np.diff(bounds)
-    return mixed(_sums(mixed(sets), np.repeat(np.arange(len(size)), size), len(size)) + size.astype(np.uint64))
+class Names:
+    """64-bit names of sets; of different sets with one name all but one class are given others.
+
+    apart maps (name, second hash) of such classes to their other names; it has as
+    many entries as names collide, which is n * n / 2 ** 65 for n classes.
+    """
+
+    def __init__(self, apart: dict[tuple[int, int], int] | None = None, bits: int = 64):
+        self.apart, self.bits = apart or {}, bits
+
+    def second(self, sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        return mixed(_sums(mixed(sets ^ np.uint64(0x9E3779B97F4A7C15)), owner, n))
 
+    def of(self, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and second hashes of sets."""
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(size)), size)
+        names = signed(mixed(_sums(mixed(sets), owner, len(size)) + size.astype(np.uint64)) >> np.uint64(64 - self.bits))
+        second = signed(self.second(sets, owner, len(size)))
+        if self.apart:
+            for i in np.flatnonzero(np.isin(names, [k for k, _ in self.apart])).tolist():
+                names[i] = self.apart.get((int(names[i]), int(second[i])), names[i])
+        return names, second
 
-def _profiler(k: int):
+
+def _profiler(k: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets, bounds = shingle_sets(batch.column("text"), k)
-                n = batch.num_rows
-                owner = np.repeat(np.arange(n), np.diff(bounds))
-                check = mixed(_sums(mixed(sets ^ np.uint64(0x9E3779B97F4A7C15)), owner, n))
+                name, second = names.of(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         batch.column("key"),
                         pa.array(np.diff(bounds)),
-                        pa.array(signed(_names(sets, bounds))),
-                        pa.array(signed(check)),
+                        pa.array(name),
+                        pa.array(second),
                     ],
                     names=["doc_id", "key", "n", "node", "check"],
                 )
@@ -240,7 +257,7 @@ def _profiler(k: int):
     return run
 
 
-def _dealer(k: int, percent: int):
+def _dealer(k: int, percent: int, names: Names):
     """(part, node) of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +265,8 @@ def _dealer(k: int, percent: int):
             for batch in slices(whole, limit=1 << 20):
                 sets, bounds = shingle_sets(batch.column("text"), k)
                 keys, at = signatures(sets, bounds, percent)
-                node = np.repeat(_names(sets, bounds), np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(node))], names=["part", "node"])
+                node = np.repeat(names.of(sets, bounds)[0], np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(node)], names=["part", "node"])
 
     return run
 
@@ -295,13 +312,18 @@ def _setter(k: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are within the threshold."""
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    """The pairs (u, v) whose sets are within the threshold; only the sets of these are moved.
+
+    Each v is compared with few u, so its set is dealt first and meets the sets of
+    the u, which many v share.
+    """
+    some = lambda c: sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+    a = some("u").select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = some("v").select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(a, "u")
-        .join(b, "v")
+        pairs.join(b, "v")
+        .join(a, "u")
         .select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("all"))
         .where(F.col("both") * 100 >= F.col("all") * percent)
         .select("u", "v")
@@ -363,27 +385,35 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         roots = components(reduce(DataFrame.unionByName, known, new))
 
 
-def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def told_apart(profile: DataFrame, names: Names) -> Names:
+    """Names that differ wherever the second hashes do."""
+    met = profile.where("n > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
+    more = profile.join(met, "node").where("check != a").select("node", "check").distinct()
+    other = F.xxhash64("node", "check", F.lit("apart"))
+    return Names({(r["node"], r["check"]): r["other"] for r in more.withColumn("other", other).collect()}, names.bits)
+
+
+def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """Per document: doc_id, key, n_shingles, component_id (the least doc_id reachable by links), group.
 
     group names the component whatever its ids are; without shingles it is the key.
+    bits is the length of the names that classes have at first; tests make them collide.
     """
     ship(docs.sparkSession)
     docs = keyed(docs)
-    profile = written(docs.mapInArrow(_profiler(shingle), PROFILE), "profile")
+    names = Names(bits=bits)
+    profile = written(docs.mapInArrow(_profiler(shingle, names), PROFILE), "profile")
+    names = told_apart(profile, names)
+    if names.apart:
+        rows = [(*k, v) for k, v in names.apart.items()]
+        other = docs.sparkSession.createDataFrame(rows, "node long, check long, other long")
+        renamed = profile.join(F.broadcast(other), ["node", "check"], "left").withColumn("node", F.coalesce("other", "node"))
+        profile = renamed.select(*profile.columns)
     classes = written(
-        profile.where("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("first"),
-            F.min("key").alias("key"),
-            F.min("check").alias("a"),
-            F.max("check").alias("b"),
-        ),
-        "classes",
+        profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")), "classes"
     )
-    if not classes.where("a != b").isEmpty():
-        raise RuntimeError("two different sets have one 64-bit class hash")
     # one text of each class is dealt to parts; a part is shared where its next neighbour is another class
-    parts = _only(docs, classes.select("key")).select("text").mapInArrow(_dealer(shingle, percent), "part long, node long")
+    parts = _only(docs, classes.select("key")).select("text").mapInArrow(_dealer(shingle, percent, names), "part long, node long")
     by_part = Window.partitionBy("part").orderBy("node")
     beside = parts.select("part", "node", F.lag("node").over(by_part).alias("a"), F.lead("node").over(by_part).alias("b"))
     members = written(beside.where("a != node or b != node").select("part", "node").distinct(), "members")

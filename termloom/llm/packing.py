@@ -33,8 +33,10 @@ from termloom.session import ship, written
 
 CAPACITY = 2048
 END = 0
-#: Parts of texts whose ids a worker keeps; beyond it only those met since are.
-CACHE = 1 << 16
+#: Parts of texts whose ids a worker keeps; beyond it only those met lately are.
+CACHE = 3 << 16
+#: Text that is encoded at once.
+SLICE = 6 << 20
 #: Pieces of one length that are ranked in one task, about; a length has as many hash classes as that needs.
 RANKED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,7 +44,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Characters that some table of white space, or of its neighbours, holds.
 _SPACES = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
-_MARKS = frozenset(".,;:!?")
+_RUN = ".,;:!?#$%&*"
+_MARKS = frozenset(_RUN)
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[begin : begin + size] of each, end to end."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
 class Tokens:
@@ -52,84 +61,97 @@ class Tokens:
     between a letter and a mark; no special string has either. So a text's ids are
     those of its parts between spaces, each encoded once with the space before it.
     Texts where white space follows a space are cut only where neither has any.
-    Parts that come again are kept, those of two rounds at most.
+    Parts are numbered as they come; when there are many, those met again stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._made = Tokenizer.from_file(path)
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._number: dict[str, int] = {}
+        self._again: list[str] = []
+        self._ids, self._size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         python = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), _SPACES)
         self._cut = re.compile(f"(?<=[^{python}])(?= [^{python}])").split
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part; they are encoded as one sequence of words, which keeps them apart."""
+    def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self._number)
+        self._number.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self._ids, self._size = np.concatenate([self._ids, ids]), np.concatenate([self._size, size])
+
+    def _encode(self, parts: list[str]) -> None:
+        """New parts are encoded as one sequence of words, which keeps them apart."""
         made = self._made.encode(parts, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.asarray(made.ids, "<u4"), np.asarray(made.word_ids, np.int64)
-        edges = (4 * np.searchsorted(of, np.arange(len(parts) + 1))).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-    def _of(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct parts."""
-        new, old = self._new, self._old
-        fresh = [p for p in parts if p not in new]
-        met = [p for p in fresh if p in old]
-        new.update(zip(met, map(old.__getitem__, met), strict=True))
-        if len(met) < len(fresh):
-            marked, plain = {}, set()
-            for p in fresh:
-                if p not in old:
-                    if p[-1:] in _MARKS and "a" <= p[-2:-1] <= "z":
-                        marked[p] = p[:-1]
-                        plain.update((p[:-1], p[-1]))
-                    else:
-                        plain.add(p)
-            asked = [p for p in plain if p not in new]
-            new.update(zip(asked, self._encoded(asked), strict=True))
-            for p, base in marked.items():
-                new[p] = new[base] + new[p[-1]]
-        out = list(map(new.__getitem__, parts))
-        if len(new) > CACHE:
-            self._old, self._new = {p: v for p, v in new.items() if len(p) < 32}, {}
-        return out
+        of = np.asarray(made.word_ids, np.int64)
+        self._add(parts, np.asarray(made.ids, np.uint32), np.bincount(of, minlength=len(parts)))
+
+    def _forget(self) -> None:
+        """Keeps the parts that the last slice had and an earlier one too."""
+        parts = self._again
+        at = self.numbers(parts)
+        ids, size = _gather(self._ids, self.begin()[at], self._size[at]), self._size[at]
+        self._number, self._ids, self._size = {}, self._ids[:0], self._size[:0]
+        self._add(parts, ids, size)
+
+    def begin(self) -> np.ndarray:
+        return np.cumsum(self._size) - self._size
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self._number.__getitem__, parts), np.int64, len(parts))
+
+    def learn(self, parts: list[str]) -> None:
+        """Numbers for distinct parts that have none; a letter's mark is encoded for itself."""
+        known = self._number
+        fresh = [p for p in parts if p not in known]
+        if not fresh:
+            return
+        marked, base, mark = [], [], []
+        for p in fresh:
+            if p[-1:] in _MARKS and "a" <= (b := p.rstrip(_RUN))[-1:] < "\u0250" and b[-1].isalpha():
+                marked.append(p)
+                base.append(b)
+                mark.append(p[len(b) :])
+        plain = set(fresh).difference(marked)
+        plain.update(base, mark)
+        plain.difference_update(known)
+        if plain:
+            self._encode(list(plain))
+        if marked:
+            both = np.stack([self.numbers(base), self.numbers(mark)], axis=1).ravel()
+            size = self._size[both]
+            self._add(marked, _gather(self._ids, self.begin()[both], size), size[::2] + size[1::2])
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts, nulls as empty ones."""
         if not len(texts):
             return []
+        if len(self._number) > CACHE:
+            self._forget()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, f" [{_SPACES}]")
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         starts = np.asarray(lists.offsets, np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64).copy()
-        distinct = self._of([f" {w}" for w in coded.dictionary.to_pylist()])
-        # the first part of a text has no space before it; an odd text is one part, made of its own
-        first = coded.dictionary.take(coded.indices.take(pa.array(starts[:-1] - starts[0]))).to_pylist()
-        names = sorted(set(first))
-        number = {w: k + len(distinct) for k, w in enumerate(names)}
-        blobs = distinct + self._of(names)
-        heads = np.asarray([number[w] for w in first], np.int64)
-        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        for t in at.tolist():
-            heads[t] = len(blobs)
-            parts = self._cut(texts[t].as_py())
-            names = list(dict.fromkeys(parts))
-            known = dict(zip(names, self._of(names), strict=True))
-            blobs.append(b"".join(map(known.__getitem__, parts)))
-        starts -= starts[0]
-        codes[starts[:-1]] = heads
-        raw = np.frombuffer(b"".join(blobs), "<u4")
-        size = np.asarray(list(map(len, blobs)), np.int64) // 4
-        begin = np.cumsum(size) - size
-        many = size[codes]
-        ends = np.concatenate([[0], np.cumsum(many)])
-        flat = raw[np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], many)].tobytes()
-        edges = (4 * ends[starts]).tolist()
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        starts = starts - starts[0]
+        words = coded.dictionary.to_pylist()
+        parts = list(map(" ".__add__, words))
+        self._again = [p for p in parts if p in self._number]
+        codes = np.asarray(coded.indices, np.int64)
+        # the first part of a text has no space before it
+        first = [words[k] for k in codes[starts[:-1]].tolist()]
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        cut = [self._cut(texts[t].as_py()) for t in at]
+        self.learn(list(dict.fromkeys([*parts, *first, *(p for c in cut for p in c)])))
+        codes = self.numbers(parts)[codes]
+        codes[starts[:-1]] = self.numbers(first)
+        size, begin = self._size[codes], self.begin()
+        flat = _gather(self._ids, begin[codes], size).astype("<u4", copy=False).tobytes()
+        edges = (4 * np.concatenate([[0], np.cumsum(size)])[starts]).tolist()
+        out = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for t, c in zip(at, cut, strict=True):
+            own = self.numbers(c)
+            out[t] = _gather(self._ids, begin[own], self._size[own]).astype("<u4", copy=False).tobytes()
+        return out
 
 
 def _made(path: str) -> Tokens:
@@ -153,7 +175,7 @@ def _pieces(path: str, capacity: int):
         tok = tokens_of(path)
         end = np.asarray([END], "<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 out: list[list[int]] = [[], [], [], [], []]
                 made = tok.ids(batch.column("text"))
                 for doc, told in zip(batch.column("doc_id").to_pylist(), made, strict=True):

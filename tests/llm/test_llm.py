@@ -471,6 +471,19 @@ def test_jaccard(spark, monkeypatch, shingle, percent, region):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_names_that_collide(spark):
+    """Classes whose first names are equal are told apart, whatever their number."""
+    docs = [(i, f"a{i % 7} b{i % 7} c d e f g h i j k{i % 3}") for i in range(40)] + [(50, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, shingle=2, percent=70, bits=2).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(got) == sorted(jaccard.brute_force(docs, 2, 70), key=repr)
+
+
+def test_jaccard_query(spark):
+    docs = [(r["doc_id"], r["text"]) for r in docs_of(spark).collect()]
+    assert rows_of(jaccard.op10_jaccard_metric_join(spark, SF)) == sorted(jaccard.brute_force(docs), key=repr)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 30), (40, 40)], "u long, v long")
     assert dict(rows_of(graphs.components(chain))) == {**{i: 1 for i in range(1, 21)}, 30: 30, 31: 30}
