@@ -149,8 +149,13 @@ WITH d AS (
   SELECT r, i FROM (
     SELECT r, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, r, i) AS k FROM pairs WHERE next IS NOT NULL
   ) WHERE k > 1
+), long AS (
+  SELECT r, i FROM (
+    SELECT r, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, r, i) AS k FROM pairs
+    WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
+  ) WHERE k > 1
 ), gone AS (
-  SELECT DISTINCT r, i + k AS i FROM later, (SELECT unnest([0, 1]) AS k)
+  SELECT r, i + k AS i FROM later, (SELECT unnest([0, 1]) AS k) UNION SELECT r, i FROM long
 ), kept AS (
   SELECT n.r, n.p, n.line, n.w FROM n LEFT JOIN gone ON n.r = gone.r AND n.i = gone.i AND n.w WHERE gone.r IS NULL
 ), t AS (
