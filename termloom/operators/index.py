@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
+from termloom.session import written
 
 #: How each gram field is made of a text's tokens.
 GRAMS: dict[str, Callable[[Column], Column]] = {
@@ -32,13 +33,45 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: t
     """(field, key, term, tf) of the gram fields of a text column."""
     tokens = terms if terms is not None else tx.tokens(text)
     held = docs.select(key, F.explode(F.array(tokens)).alias("_t"))
-    parts = [held.select(F.lit(f).alias("field"), key, F.explode(GRAMS[f](F.col("_t"))).alias("term")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one reading of the texts makes all fields
+    grams = held.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), GRAMS[f](F.col("_t")).alias("g")) for f in fields])).alias("_f"))
+    out = grams.select(F.col("_f.field").alias("field"), key, F.explode("_f.g").alias("term"))
     return out.groupBy("field", key, "term").agg(F.count("*").alias("tf"))
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells whether the files of a table are those that an index was made of."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+
+
+def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], key: str = "doc_id") -> dict[str, DataFrame]:
+    """The index that make() gives for a source table, written once and read by every query after.
+
+    postings (field, term, key, tf, dl) lie dealt and sorted by term within a folder a
+    field, so a search reads the fields and, by their row groups' bounds, the terms it
+    asks for; terms (field, term, df, ttf) and lengths (field, key, dl) lie beside them.
+    Changed source files make a new index.
+    """
+    known = spark.sparkContext.__dict__.setdefault("_termloom_indexes", {})
+    at = (name, _stamp(spark, source))
+    if at not in known:
+        p = make()
+        of = Window.partitionBy("field", key)
+        rows = p.select("field", key, "term", "tf").withColumn("dl", F.sum("tf").over(of))
+        rows = written(rows.repartition("field", "term").sortWithinPartitions("field", "term"), f"{name}-postings", partition_by=("field",))
+        terms = rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+        lengths = rows.groupBy("field", key).agg(F.max("dl").alias("dl"), F.count("*").alias("distinct_terms"))
+        known[at] = {
+            "postings": rows,
+            "terms": written(terms, f"{name}-terms"),
+            "lengths": written(lengths, f"{name}-lengths"),
+        }
+    return known[at]
+
+
 def term_stats(p: DataFrame) -> DataFrame:
     """(field, term, df, ttf)."""
     return p.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))

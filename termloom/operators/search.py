@@ -27,6 +27,24 @@ def query_terms(queries: DataFrame, text: str = "text", *, keep: tuple[str, ...]
     )
 
 
+def gram_terms(parts: DataFrame, weights: dict[str, float], n: int = 15) -> DataFrame:
+    """The n most frequent grams of each field of (query_id, clause, text), each boosted by its field's weight."""
+    t = parts.select("query_id", "clause", F.explode(F.array(tx.tokens("text"))).alias("_t"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("boost"), QUERY_GRAMS[f](F.col("_t")).alias("g")) for f, w in weights.items()])
+    rows = t.select("query_id", "clause", F.explode(fields).alias("f")).select("query_id", "clause", "f.field", "f.boost", F.explode("f.g").alias("term"))
+    count = rows.groupBy("query_id", "clause", "field", "boost", "term").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("query_id", "clause", "field").orderBy(F.desc("_n"), "term")
+    best = count.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    return best.select("query_id", "clause", "field", "term", "boost", F.lit("should").alias("occur"))
+
+
+#: How the grams of a query's field are made of its tokens.
+QUERY_GRAMS = {
+    "unigram": lambda t: t, "bigrams": tx.bigrams, "bigram_windows": tx.windowed_query,
+    "outlinks": lambda t: t, "sections": lambda t: t, "name": lambda t: t, "neighbor_unigrams": lambda t: t,
+}
+
+
 def top_terms(q: DataFrame, n: int = 15) -> DataFrame:
     """The n terms of largest boost of each query and clause."""
     w = Window.partitionBy("query_id", "clause").orderBy(F.desc("boost"), "term")
@@ -49,22 +67,43 @@ def tfidf_variant(df: Column, dl: Column, ttf: Column, n: Column) -> Column:
 
 
 class Index:
-    """Postings of one field with their statistics, ready to be searched.
+    """Postings with their statistics, ready to be searched.
 
-    The statistics of a field are one row; those of terms are joined to query terms
-    first, so only terms that are asked for meet the postings.
+    With a field, queries ask that field; without one, each query term names its
+    field, and every field is scored by its own statistics. Query terms meet the
+    statistics of terms first, so only terms that are asked for meet the postings.
+    Tables of a stored index are taken as they are.
     """
 
-    def __init__(self, p: DataFrame, field: str = "unigram"):
-        self.p = p.where(F.col("field") == field).select("doc_id", "term", "tf")
-        self.terms = self.p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        self.lengths = self.p.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        self.field = self.lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("sum_ttf"))
+    def __init__(self, p: DataFrame, field: str | None = "unigram", terms: DataFrame | None = None, lengths: DataFrame | None = None):
+        self.on = [] if field else ["field"]
+        only = (lambda df: df.where(F.col("field") == field)) if field else (lambda df: df)
+        held = ["dl"] if "dl" in p.columns else []
+        self.p = only(p).select(*self.on, "doc_id", "term", "tf", *held)
+        self.terms = (
+            self.p.groupBy(*self.on, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+            if terms is None
+            else only(terms).select(*self.on, "term", "df", "ttf")
+        )
+        self.lengths = (
+            self.p.groupBy(*self.on, "doc_id").agg(F.sum("tf").alias("dl"))
+            if lengths is None
+            else only(lengths).select(*self.on, "doc_id", "dl")
+        )
+        self.field = self.lengths.groupBy(*self.on).agg(F.count("*").alias("n"), F.sum("dl").alias("sum_ttf"))
+
+    @classmethod
+    def stored(cls, tables: dict[str, DataFrame], field: str | None = "unigram") -> Index:
+        return cls(tables["postings"], field, tables["terms"], tables["lengths"])
 
     def term_scores(self, q: DataFrame, similarity: str = "bm25", **options) -> DataFrame:
         """A row for each matching (query, clause, term, document): boost times similarity."""
-        asked = q.join(self.terms, "term")
-        rows = asked.join(self.p, "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.field))
+        # a row a field: its number of documents and of tokens
+        asked = q.join(self.terms, [*self.on, "term"])
+        asked = asked.join(F.broadcast(self.field), self.on) if self.on else asked.crossJoin(F.broadcast(self.field))
+        rows = asked.join(self.p, [*self.on, "term"])
+        if "dl" not in self.p.columns:
+            rows = rows.join(self.lengths, [*self.on, "doc_id"])
         tf, dl, df, ttf = (F.col(c) for c in ("tf", "dl", "df", "ttf"))
         n, total = F.col("n"), F.col("sum_ttf")
         value = {
@@ -89,7 +128,7 @@ class Index:
             F.sum(F.when(F.col("occur") != "filter", F.col("score")).otherwise(0.0)).alias("score"),
             F.count(F.when(F.col("occur") != "should", 1)).alias("met"),
         )
-        out = hit.join(F.broadcast(need), "query_id").where("met = need").select("query_id", "doc_id", "score")
+        out = hit.join(need, "query_id").where("met = need").select("query_id", "doc_id", "score")
         return top_k(out, k, digits)
 
     def explain(self, q: DataFrame, candidates: DataFrame, similarity: str = "bm25") -> DataFrame:
@@ -119,7 +158,7 @@ def nested(rows: DataFrame, q: DataFrame) -> DataFrame:
     by_clause = rows.groupBy("query_id", "clause", "doc_id").agg(
         F.sum("score").alias("score"), F.count(F.when(F.col("occur") == "must", 1)).alias("met")
     )
-    good = by_clause.join(F.broadcast(need), ["query_id", "clause"]).where("met = need")
+    good = by_clause.join(need, ["query_id", "clause"]).where("met = need")
     return good.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 

@@ -81,11 +81,11 @@ def documents_as_queries(spark, d):
     return found.select("query_id", F.col("doc_id").alias("name"), "score", "rank")
 
 
-@query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, c AS (SELECT DISTINCT term FROM pool JOIN p USING (doc_id)) SELECT count(*)::BIGINT AS terms FROM c")
+@query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, c AS (SELECT query_id, term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS ttf FROM pool JOIN p USING (doc_id) GROUP BY ALL) SELECT query_id, term, df, ttf FROM c")
 def pseudo_index_terms(spark, d):
-    """The vocabulary of the index of all pooled documents."""
+    """The statistics of each query's index of its pooled documents alone."""
     p = index.pseudo_index(re.doc_index(spark, d).p, re._pool(spark, d))
-    return p.select("term").distinct().agg(F.count("*").alias("terms"))
+    return p.groupBy("query_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
 
 @query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, sl AS (SELECT query_id, source AS section, count(*)::DOUBLE AS score FROM pool JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id, section, score FROM sl")
@@ -107,20 +107,20 @@ def section_distance_feature(spark, d):
     return rows.groupBy("query_id", "section").agg(r(F.sum(F.ln(F.coalesce(F.col("tf").cast("double"), F.lit(0.5)) * F.col("boost"))), 4).alias("score"))
 
 
-@query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, sp AS (SELECT source AS section, doc_id, tf / sum(tf) OVER (PARTITION BY source) AS f, term FROM p JOIN documents USING (doc_id)), g AS (SELECT section, term, sum(f) AS f FROM sp GROUP BY ALL) SELECT section, count(*)::BIGINT AS terms, round(sum(f), 6) AS mass FROM g GROUP BY section")
+@query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, sp AS (SELECT source AS section, doc_id, tf / sum(tf) OVER (PARTITION BY source) AS f, term FROM p JOIN documents USING (doc_id)), g AS (SELECT section, term, sum(f) AS f FROM sp GROUP BY ALL) SELECT section, term, round(f, 9) AS share FROM g")
 def section_pullback(spark, d):
     """A section's distribution as the sum of its documents' term counts; it sums to 1."""
     t = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("section"))
     counts = re.doc_index(spark, d).p.join(t, "doc_id").groupBy("section", "term").agg(F.sum("tf").alias("tf"))
     shares = counts.withColumn("f", stats.by_sum(F.col("tf"), "section"))
-    return shares.groupBy("section").agg(F.count("*").alias("terms"), r(F.sum("f"), 6).alias("mass"))
+    return shares.select("section", "term", r("f", 9).alias("share"))
 
 
-@query(f"WITH {rk._EDGES} , z AS (SELECT query_id, doc_id, (score - avg(score) OVER (PARTITION BY query_id)) AS c FROM pool) SELECT query_id, count(*)::BIGINT AS n FROM z GROUP BY ALL")
+@query(f"WITH {rk._EDGES} , z AS (SELECT query_id, doc_id, (score - avg(score) OVER (PARTITION BY query_id)) / nullif(sqrt(var_pop(score) OVER (PARTITION BY query_id) * count(*) OVER (PARTITION BY query_id)), 0) AS c FROM pool) SELECT query_id, doc_id::VARCHAR AS id, round(coalesce(c, 0), 5) + 0.0 AS norm FROM z")
 def renormalised_features(spark, d):
     """Raw values normalised anew over a combined list of candidates of all kinds."""
     pooled = re._pool(spark, d).select("query_id", F.col("doc_id").cast("string").alias("id"), F.lit("f").alias("feature"), F.col("score").alias("raw"))
-    return sc.normalised(pooled).groupBy("query_id").agg(F.count("norm").alias("n"))
+    return sc.normalised(pooled).select("query_id", "id", r("norm").alias("norm"))
 
 
 @query(f"WITH {sq.BASE}, t AS ({sq.top(re._sum(sq.scored()), 10)}), x AS (SELECT query_id, source AS name, max(score) AS score FROM t JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id::VARCHAR AS query, 'enwiki:' || replace(name, '_', '%20') AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank, score, 'Entity' AS tag FROM x")

@@ -235,11 +235,11 @@ def propagate_entity_paragraph(spark, d):
     return sc.pushed(sc.pushed(_node_scores(spark, d), e), sc.reversed_edges(e))
 
 
-@query(f"WITH {_EDGES}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS c FROM edges) SELECT query_id, round(sum(score / c), 3) AS mass FROM n JOIN pool USING (query_id, doc_id) GROUP BY ALL")
+@query(f"WITH {_EDGES}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS c FROM edges) SELECT query_id, name AS node, round(sum(round(score * 10000) / c), 2) + 0.0 AS score FROM n JOIN pool USING (query_id, doc_id) GROUP BY ALL")
 def propagated_mass(spark, d):
-    """With normalised edges what leaves arrives."""
-    scores = re._pool(spark, d).select("query_id", F.col("doc_id").alias("node"), "score")
-    return sc.pushed(scores, _edges(spark, d), normalize=True).groupBy("query_id").agg(r(F.sum("score"), 3).alias("mass"))
+    """Scores sent along normalised edges: what leaves a document is shared among its entities."""
+    sent = sc.pushed(_node_scores(spark, d), _edges(spark, d), normalize=True)
+    return sent.select("query_id", "node", r("score", 2).alias("score"))
 
 
 # -- evaluation ----------------------------------------------------------------------
@@ -296,7 +296,7 @@ def run_file(spark, d):
     return rows.select(F.concat_ws(" ", "query", F.lit("Q0"), F.col("id").cast("long").cast("string"), "rank", "tag").alias("value"))
 
 
-@query("SELECT quality || ' qid:' || row_number() OVER (ORDER BY doc_id) % 7 || ' 1:' || toxic || ' 2:' || n_chars || ' #' || source || ' # ' || doc_id || ' PARAGRAPH' AS value FROM documents JOIN labels USING (doc_id) WHERE false")
+@query("WITH s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS qid FROM (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id))) SELECT quality || ' qid:' || qid || ' 1:' || toxic || ' 2:' || n_chars || ' #' || coalesce(s.source, '') || ' # ' || doc_id || ' PARAGRAPH' AS value FROM documents d JOIN labels USING (doc_id) JOIN s ON s.source IS NOT DISTINCT FROM d.source")
 def ranklib_schema(spark, d):
     """A learning-to-rank row for every labelled document; each source is a query, numbered by name."""
     t = src.table(spark, d, "documents").join(src.table(spark, d, "labels"), "doc_id")

@@ -38,8 +38,13 @@ def doc_postings(spark, d) -> DataFrame:
     return index.postings(docs(spark, d))
 
 
+def stored_postings(spark, d) -> dict[str, DataFrame]:
+    """The stored unigram index of documents."""
+    return index.stored(spark, f"{d}/documents.parquet", "documents", lambda: doc_postings(spark, d))
+
+
 def doc_index(spark, d) -> se.Index:
-    return se.Index(doc_postings(spark, d))
+    return se.Index.stored(stored_postings(spark, d))
 
 
 def bench_terms(spark, d, **options) -> DataFrame:
@@ -60,17 +65,18 @@ def token_counts(spark, d):
 
 @query(f"WITH {sq.BASE} SELECT term, df, ttf FROM ts")
 def vocabulary(spark, d):
-    return index.term_stats(doc_postings(spark, d)).select("term", big("df"), big("ttf"))
+    return stored_postings(spark, d)["terms"].select("term", big("df"), big("ttf"))
 
 
 @query(f"WITH {sq.BASE} SELECT doc_id, dl FROM dl")
 def document_lengths(spark, d):
-    return index.doc_lengths(doc_postings(spark, d)).select("doc_id", big("dl"))
+    return stored_postings(spark, d)["lengths"].select("doc_id", big("dl"))
 
 
 @query(f"WITH {sq.BASE} SELECT n AS n_docs, total AS sum_ttf, (SELECT count(*) FROM p)::BIGINT AS sum_df FROM fs")
 def field_statistics(spark, d):
-    return index.field_stats(doc_postings(spark, d)).select(big("n_docs"), big("sum_ttf"), big("sum_df"))
+    n = stored_postings(spark, d)["lengths"]
+    return n.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("sum_ttf"), F.sum("distinct_terms").alias("sum_df"))
 
 
 _STOPS = ", ".join(f"'{s}'" for s in tx.STOPS)
@@ -85,7 +91,7 @@ def stopped_terms(spark, d):
 @query()
 def stemmed_terms(spark, d):
     """Stems by the vocabulary: each distinct term is stemmed once, then joined."""
-    v = index.term_stats(doc_postings(spark, d)).select("term", "ttf")
+    v = stored_postings(spark, d)["terms"].select("term", "ttf")
     return v.withColumn("stem", F.get(tx.stems(F.array("term")), F.lit(0))).groupBy("stem").agg(F.sum("ttf").alias("n"))
 
 
@@ -171,7 +177,7 @@ def char_trigrams(spark, d):
 
 @query(f"WITH {sq.BASE} SELECT doc_id, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS k FROM p) WHERE k <= 20")
 def top_grams_per_doc(spark, d):
-    return index.top_grams(doc_postings(spark, d), 20).select("doc_id", "term", big("tf"))
+    return index.top_grams(stored_postings(spark, d)["postings"], 20).select("doc_id", "term", big("tf"))
 
 
 @query(f"SELECT item_id, array_to_string(t[greatest(len(t) // 2 - 4, 0) + 1:least(len(t) // 2 + 1 + 4, len(t))], ' ') AS ball FROM (SELECT item_id, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM benchmark)")
@@ -246,7 +252,7 @@ def section_headings(spark, d):
     return h.select("page_id", "heading", F.length("heading").cast("long").alias("n"))
 
 
-@query(f"WITH {sq.LINES}, t AS ({sq.tok('par', 'doc_id, pos')}), s AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL), k AS (SELECT DISTINCT doc_id, pos FROM t), n AS (SELECT doc_id, pos, term, tf FROM k JOIN s USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, pos, count(*)::BIGINT AS terms, sum(tf)::BIGINT AS mass FROM n GROUP BY ALL")
+@query(f"WITH {sq.LINES}, t AS ({sq.tok('par', 'doc_id, pos')}), s AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL), k AS (SELECT DISTINCT doc_id, pos FROM t), n AS (SELECT doc_id, pos, term, tf FROM k JOIN s USING (doc_id)) SELECT doc_id, pos, count(*)::BIGINT AS terms, sum(tf)::BIGINT AS mass FROM n GROUP BY ALL")
 def neighbor_unigrams(spark, d):
     par = src.paragraphs(docs(spark, d))
     p = index.postings(par.withColumn("key", F.struct("doc_id", "pos")), key="key").select("field", "key.doc_id", "key.pos", "term", "tf")
@@ -357,11 +363,16 @@ def tfidf_variant_top10(spark, d):
     return doc_index(spark, d).search(bench_terms(spark, d), 10, "tfidf", digits=4)
 
 
-_FIRST = "first AS (SELECT item_id AS query_id, term, count(*)::DOUBLE AS boost FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:5]) AS term FROM benchmark) GROUP BY ALL)"
+#: An item's five rarest terms, ties by term.
+_FIRST = "first AS (SELECT query_id, term, boost FROM (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS k FROM q JOIN ts USING (term)) WHERE k <= 5)"
 
 
-def _first_terms(spark, d, **options):
-    return se.query_terms(bench(spark, d), terms=F.slice(tx.tokens("text"), 1, 5), **options)
+def _first_terms(spark, d, boost: float = 1.0, occur: str = "should"):
+    """The five terms of an item that fewest documents have."""
+    q = bench_terms(spark, d, boost=boost, occur=occur)
+    w = se.Window.partitionBy("query_id").orderBy("df", "term")
+    rare = q.join(doc_index(spark, d).terms, "term").withColumn("k", F.row_number().over(w)).where("k <= 5")
+    return rare.select(*q.columns)
 
 
 @query(f"WITH {sq.BASE}, {_FIRST}, s AS ({sq.scored(q='first')}), need AS (SELECT query_id, count(*) AS need FROM first GROUP BY ALL) {sq.top('SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, sum(score) AS score, count(*) AS met FROM s GROUP BY ALL) JOIN need USING (query_id) WHERE met = need', 10)}")
@@ -383,17 +394,17 @@ b AS (SELECT query_id, clause, doc_id, sum(score) AS score, sum(must) AS met FRO
 
 @query(f"WITH {sq.BASE}, {_FIRST}, {_NEST} {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM b JOIN need USING (query_id, clause) WHERE met = need GROUP BY ALL', 10)}")
 def nested_combo_query(spark, d):
-    """0.2556 times all first terms required plus 0.7444 times any term."""
+    """0.2556 times all five rarest terms required plus 0.7444 times any term."""
     q = _first_terms(spark, d, boost=0.2556, occur="must").withColumn("clause", F.lit(1)).unionByName(bench_terms(spark, d, boost=0.7444))
     return se.top_k(se.nested(doc_index(spark, d).term_scores(q), q), 10, 4)
 
 
-_SENT = "sent AS (SELECT item_id AS query_id, k AS clause, term, count(*)::DOUBLE AS boost FROM (SELECT item_id, k, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+')) AS term FROM (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS s FROM (SELECT item_id, string_split(text, '.')[1:3] AS l FROM benchmark))) GROUP BY ALL)"
+_SENT = "sent AS (SELECT item_id AS query_id, k AS clause, term, count(*)::DOUBLE AS boost FROM (SELECT item_id, k, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+')) AS term FROM (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS s FROM (SELECT item_id, string_split(text, '.') AS l FROM benchmark))) GROUP BY ALL)"
 
 
 def _sentence_terms(spark, d):
-    """The first three sentences of an item, a clause each."""
-    parts = bench(spark, d).select("query_id", F.posexplode(F.slice(F.split("text", r"\."), 1, 3)).alias("clause", "text"))
+    """The sentences of an item, a clause each."""
+    parts = bench(spark, d).select("query_id", F.posexplode(F.split("text", r"\.")).alias("clause", "text"))
     rows = parts.select("query_id", "clause", F.explode(tx.tokens("text")).alias("term"))
     return rows.groupBy("query_id", "clause", "term").agg(F.count("*").cast("double").alias("boost")).withColumn("occur", F.lit("should"))
 
@@ -405,7 +416,7 @@ def disjunction_max_query(spark, d):
 
 @query(f"WITH {sq.BASE}, {_FIRST}, {_SENT}, s AS ({sq.scored()}), f AS (SELECT query_id, doc_id, count(*) AS met FROM first JOIN p USING (term) GROUP BY ALL), need AS (SELECT query_id, count(*) AS need FROM first GROUP BY ALL) {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM s SEMI JOIN (SELECT query_id, doc_id FROM f JOIN need USING (query_id) WHERE met = need) g USING (query_id, doc_id) GROUP BY ALL', 10)}")
 def filtered_query(spark, d):
-    """Any term scores; the first five must be there, unscored."""
+    """Any term scores; the five rarest must be there, unscored."""
     must = _first_terms(spark, d, occur="filter")
     return doc_index(spark, d).search(bench_terms(spark, d).unionByName(must), 10, digits=4)
 

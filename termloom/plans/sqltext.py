@@ -51,4 +51,21 @@ LINKS = (
     "links AS (SELECT page_id, replace(replace(replace(unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)), "
     "'enwiki:', ''), '%20', '_'), ' ', '_') AS name FROM pages)"
 )
-PAGE_PARS = "pp AS (SELECT page_id, (unnest(range(len(l))))::INT AS pos, unnest(l) AS text FROM (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS l FROM pages))"
+
+#: A tag from the sign after its name to its end; quoted values may hold the sign that ends it.
+_REST = r"""(?:>|[\s/](?:[^>"'']|"[^"<]*"|''[^''<]*'')*>|[\s/][^>]*>)"""
+_ANY = """(?:[^>"'']|"[^"<]*"|''[^''<]*'')*>|[^>]*>"""
+_BLOCK = (
+    "address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|"
+    "main|menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+)
+#: Paragraph elements of pages: from <p> to the next block's begin or end, without comments, scripts and inner tags.
+PAGE_PARS = (
+    "pc AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+    "'(?is)<script[\\s/>].*?</script\\s*>', '', 'g'), '(?is)<style[\\s/>].*?</style\\s*>', '', 'g') AS html FROM pages), "
+    f"ps AS (SELECT page_id, string_split(regexp_replace(html, '(?i)</?(?:{_BLOCK})[\\s/>]', chr(2) || '\\0', 'g'), chr(2)) AS parts FROM pc), "
+    "pl AS (SELECT page_id, list_filter(parts, lambda x: regexp_matches(x, '(?i)^<p[\\s/>]')) AS l FROM ps), "
+    f"pp AS (SELECT page_id, pos, regexp_replace(regexp_replace(regexp_replace(x, '(?is)^<p{_REST}', ''), "
+    f"'(?i)<br{_REST}', ' ', 'g'), '</?[a-zA-Z](?:{_ANY})', '', 'g') AS text "
+    "FROM (SELECT page_id, (unnest(range(len(l))))::INT AS pos, unnest(l) AS x FROM pl))"
+)

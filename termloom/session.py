@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -69,7 +70,9 @@ def written(df: DataFrame, name: str, path: str | None = None, partition_by: tup
     path = path or scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # columns that name folders come last when they are read
+    plain = [f for f in df.schema if f.name not in partition_by]
+    return spark.read.schema(T.StructType([*plain, *(df.schema[c] for c in partition_by)])).parquet(path).select(*df.columns)
 
 
 #: Bytes of a batch that a Python worker is sent at once; rows of any length are then held in bounded memory.
