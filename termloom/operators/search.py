@@ -96,12 +96,15 @@ class Index:
     def stored(cls, tables: dict[str, DataFrame], field: str | None = "unigram") -> Index:
         return cls(tables["postings"], field, tables["terms"], tables["lengths"])
 
-    def term_scores(self, q: DataFrame, similarity: str = "bm25", **options) -> DataFrame:
-        """A row for each matching (query, clause, term, document): boost times similarity."""
+    def term_scores(self, q: DataFrame, similarity: str = "bm25", also: tuple[str, ...] = (), **options) -> DataFrame:
+        """A row for each matching (query, clause, term, document): boost times similarity.
+
+        Columns in also have to be equal too in a query's term and the document's.
+        """
         # a row a field: its number of documents and of tokens
         asked = q.join(self.terms, [*self.on, "term"])
         asked = asked.join(F.broadcast(self.field), self.on) if self.on else asked.crossJoin(F.broadcast(self.field))
-        rows = asked.join(self.p, [*self.on, "term"])
+        rows = asked.join(self.p, [*self.on, "term", *also])
         if "dl" not in self.p.columns:
             rows = rows.join(self.lengths, [*self.on, "doc_id"])
         tf, dl, df, ttf = (F.col(c) for c in ("tf", "dl", "df", "ttf"))

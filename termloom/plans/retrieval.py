@@ -65,7 +65,8 @@ def token_counts(spark, d):
 
 @query(f"WITH {sq.BASE} SELECT term, df, ttf FROM ts")
 def vocabulary(spark, d):
-    return stored_postings(spark, d)["terms"].select("term", big("df"), big("ttf"))
+    """The statistics of all terms straight from the texts; searches take those of the stored index."""
+    return index.term_stats(doc_postings(spark, d)).select("term", big("df"), big("ttf"))
 
 
 @query(f"WITH {sq.BASE} SELECT doc_id, dl FROM dl")

@@ -49,7 +49,7 @@ if __name__ == "__main__":
     from termloom.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, db, sqls = local_session(1), connect(sf_dir), oracle_sql()
+    spark, db, sqls = local_session(8), connect(sf_dir), oracle_sql()
     for name, f in queries().items():
         if len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
