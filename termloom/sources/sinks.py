@@ -31,10 +31,11 @@ def qrel_lines(qrels: DataFrame) -> DataFrame:
     return qrels.select(F.concat_ws(" ", "query", F.lit("0"), "id", F.col("rel").cast("string")).alias("value"))
 
 
-def ranklib_lines(features: DataFrame) -> DataFrame:
-    """(rel, qid, features, name, id, kind) to learning-to-rank rows."""
+def ranklib_lines(features: DataFrame, *keep: str) -> DataFrame:
+    """(rel, qid, features, name, id, kind) to learning-to-rank rows; columns in keep stay beside them."""
     numbered = F.transform("features", lambda x, i: F.concat_ws(":", (i + 1).cast("string"), x.cast("string")))
     return features.select(
+        *keep,
         F.concat(
             F.col("rel").cast("string"), F.lit(" qid:"), F.col("qid").cast("string"), F.lit(" "), F.array_join(numbered, " "),
             F.lit(" #"), F.col("name"), F.lit(" # "), F.col("id").cast("string"), F.lit(" "), F.col("kind"),
