@@ -22,6 +22,7 @@ is kept; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,8 @@ from termloom.session import scratch_path, ship, written
 
 WINDOW = 35
 GRAM = 8
-#: Keys that a broadcast may hold, 8 bytes each; more take a shuffle.
-BROADCAST_KEYS = 500_000
+#: A value is heavy if it has more than this part of all rows; so there are fewer such values than this number.
+HEAVY = 2_000
 
 PRINTS = (
     "doc_id long, key long, n_words long, sha256 string, "
@@ -129,10 +130,11 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 class FingerprintIndex:
-    """Immutable runs of (anchor, total, low, high), each sorted by anchor.
+    """Immutable runs of (anchor, total, low, high), each bucketed and sorted by anchor.
 
     total counts occurrences, low and high are the least and greatest content hash
-    seen with the anchor. Runs only ever get added or replaced by their merger.
+    seen with the anchor. Runs only ever get added or replaced by their merger. A
+    batch meets every run by a merge join on the buckets, so runs are not shuffled.
     """
 
     SCHEMA = "anchor long, total long, low long, high long"
@@ -143,39 +145,42 @@ class FingerprintIndex:
         #: (docs, prints) of what was judged before: later batches are verified against its contents and texts.
         self.history: list[tuple[DataFrame, DataFrame]] = []
         self._made = 0
+        self._name = f"termloom_run_{uuid.uuid4().hex}"
 
     def _store(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{self._made:06d}"
+        name = f"{self._name}_{self._made:06d}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = rows.repartition(buckets, "anchor").write.bucketBy(buckets, "anchor").sortBy("anchor")
+        writer.option("path", f"{self.path}/run-{self._made:06d}").saveAsTable(name)
         self._made += 1
-        rows.sortWithinPartitions("anchor").write.mode("errorifexists").parquet(path)
-        return path
+        return name
 
-    def add(self, prints: DataFrame) -> None:
-        """A batch of fingerprints becomes a run; occurrences are summed before they are shuffled."""
+    @staticmethod
+    def summed(prints: DataFrame) -> DataFrame:
+        """The run of a batch; occurrences are summed before they are shuffled."""
         rows = prints.select(F.inline(F.arrays_zip("anchor", "content")))
-        self.runs.append(
-            self._store(
-                rows.groupBy("anchor").agg(
-                    F.count("*").alias("total"), F.min("content").alias("low"), F.max("content").alias("high")
-                )
-            )
-        )
+        return rows.groupBy("anchor").agg(F.count("*").alias("total"), F.min("content").alias("low"), F.max("content").alias("high"))
+
+    def add(self, prints: DataFrame) -> None:
+        """A batch of fingerprints becomes a run."""
+        self.runs.append(self._store(self.summed(prints)))
         if len(self.runs) > self.fanout:
             self.compact()
 
     def merged(self) -> DataFrame:
-        """All runs as one, merged by anchor."""
-        rows = [self.spark.read.schema(self.SCHEMA).parquet(p) for p in self.runs]
-        if not rows:
+        """All runs as one, merged by anchor; the buckets are those of the runs."""
+        if not self.runs:
             return self.spark.createDataFrame([], self.SCHEMA)
-        if len(rows) == 1:
-            return rows[0]
-        both = rows[0]
-        for r in rows[1:]:
-            both = both.unionByName(r)
-        return both.groupBy("anchor").agg(
-            F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")
-        )
+        out = self.spark.table(self.runs[0])
+        for name in self.runs[1:]:
+            other = self.spark.table(name).toDF("anchor", "t", "l", "h")
+            out = out.join(other.hint("merge"), "anchor", "full").select(
+                "anchor",
+                (F.coalesce("total", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("total"),
+                F.least("low", "l").alias("low"),
+                F.greatest("high", "h").alias("high"),
+            )
+        return out
 
     def compact(self) -> None:
         """One run in place of all; the old ones stay until no reader can need them."""
@@ -183,6 +188,18 @@ class FingerprintIndex:
             self.runs = [self._store(self.merged())]
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, on: list[str], total: str = "total") -> DataFrame:
+    """rows joined with counts by on, whatever part of the rows one value has.
+
+    Values that have more than 1 / HEAVY of all rows are fewer than HEAVY, so their
+    counts are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    most = counts.agg(F.sum(total).alias("n")).first()["n"] or 0
+    heavy = F.broadcast(counts.where(F.col(total) * HEAVY > most))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(counts.where(F.col(total) * HEAVY <= most), on)
+    return rows.join(heavy, on).unionByName(light)
+
+
 def _window_rows(window: int):
     """Windows (two hashes) of the listed runs of each text."""
 
@@ -220,9 +237,8 @@ def _window_rows(window: int):
 
 
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents that have one of the keys; a measured, small set of keys is broadcast."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    """The documents that have one of the keys. These are written first, so Spark knows their size when it plans the join."""
+    return docs.join(written(keys.select("key"), "keys"), "key", "left_semi")
 
 
 def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
@@ -233,12 +249,10 @@ def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, w
     """
     found = index.merged().where("total > 1")
     occurrences = prints.select("key", F.inline(F.arrays_zip("anchor", "content", "start", "n")))
-    hits = written(
-        occurrences.join(found, "anchor").select(
-            "anchor", "content", "key", "start", "n", (F.col("low") == F.col("high")).alias("alike")
-        ),
-        "hits",
+    hits = with_counts(occurrences, found, ["anchor"]).select(
+        "anchor", "content", "key", "start", "n", (F.col("low") == F.col("high")).alias("alike")
     )
+    hits = written(hits, "hits")
     sure = hits.where("alike").select("key", "start", "n")
     mixed_ones = hits.where("not alike").drop("alike").withColumn("fresh", F.lit(True))
     if index.history:
@@ -250,7 +264,8 @@ def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, w
     kinds = mixed_ones.groupBy("anchor", "content").agg(
         F.count("*").alias("total"), F.min(F.xxhash64("key", "start")).alias("one")
     )
-    known = written(mixed_ones.join(kinds, ["anchor", "content"]), "kinds")
+    kinds = written(kinds, "counts")
+    known = written(with_counts(mixed_ones, kinds, ["anchor", "content"]), "kinds")
     several = known.where("total > 1 and fresh").select("key", "start", "n")
     read = (
         known.where(F.xxhash64("key", "start") == F.col("one"))
