@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips, held-out accuracy and odd tables."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -263,7 +264,7 @@ def test_extraction(spark, nothing):
     assert got[1] == "T & x Two bold, two three Un closed end" and got[9] == ""
     assert extract.extract_pages(df.limit(0)).count() == 0
     assert extract.extract("<p>a<b>c") == "ac" and extract.extract("<<>") in ("<<>", "<", "< <>")
-    n, pairs = extract.match(extract.Shape("#root", [extract.parse("<div><p>a</p><ul></ul></div>")]), extract.Shape("#root", [extract.parse("<div><ul></ul></div>")]))
+    n, pairs = extract.match(extract.shape_of(extract.parse("<div><p>a</p><ul></ul></div>")), extract.shape_of(extract.parse("<div><ul></ul></div>")))
     assert n == 3 and len(pairs) == 3
 
 
@@ -279,6 +280,28 @@ def test_extraction_of_generated_pages(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_names_and_depth():
+    assert extract.extract('<div class="post share-enabled"><p>Article text here</p></div>') == "Article text here"
+    assert extract.extract('<main><div class="related-content"><p>Body</p></div></main>') == "Body"
+    assert extract.extract('<main><div class="related-posts">x</div><p>Body</p><div id="comments_1">y</div></main>') == "Body"
+    deep = "<div>" * 20_000 + "<p>far down</p>" + "</div>" * 20_000
+    wrapper = json.dumps(extract.induce([deep, deep.replace("far", "very far"), deep.replace("far", "not far")]))
+    assert extract.extract(deep, wrapper) == extract.extract(deep) == "far down"
+
+
+def test_the_wrapper_alone_decides(spark):
+    """Neither tags nor names tell anything; the same text on all pages is template, two layouts have a wrapper each."""
+    one = "<div><div>Home News Shop</div><div><div>{0} first words of a long story {0}</div><div>Read our rules</div><div>and {0} more of it, to the end</div></div><div>Made by us</div></div>"
+    two = "<table><tr><td>Home News Shop</td><td><div>{0} another kind of page altogether {0} with its own text</div></td></tr></table><div>Made by us</div>"
+    rows = [(k, f"http://h/{k}", (one if k % 2 else two).format(f"w{k}")) for k in range(14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract.extract_pages(df).collect()}
+    for k in range(14):
+        assert "Home News" not in got[k] and "Made by us" not in got[k]
+        assert f"w{k}" in got[k] and ("of a long story" in got[k]) == bool(k % 2)
+    assert extract.extract(rows[1][2]) != got[1]
+
+
 # 5 ----------------------------------------------------------------------------
 
 
