@@ -196,7 +196,8 @@ def with_counts(rows: DataFrame, counts: DataFrame, on: list[str], total: str =
     """
     most = counts.agg(F.sum(total).alias("n")).first()["n"] or 0
     heavy = F.broadcast(counts.where(F.col(total) * HEAVY > most))
-    light = rows.join(heavy.select(*on), on, "left_anti").join(counts.where(F.col(total) * HEAVY <= most), on)
+    # one plan at every size
+    light = rows.join(heavy.select(*on), on, "left_anti").join(counts.where(F.col(total) * HEAVY <= most).hint("merge"), on)
     return rows.join(heavy, on).unionByName(light)
 
 
