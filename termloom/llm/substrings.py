@@ -44,6 +44,8 @@ from termloom.session import scratch_path, ship, written
 
 WINDOW = 35
 GRAM = 8
+#: Keys that a broadcast may hold, 8 bytes each; more take a shuffle.
+BROADCAST_KEYS = 500_000
 #: A value is heavy if it has more than this part of all rows; so there are fewer such values than this number.
 HEAVY = 2_000
 
@@ -238,8 +240,9 @@ def _window_rows(window: int):
 
 
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents that have one of the keys. These are written first, so Spark knows their size when it plans the join."""
-    return docs.join(written(keys.select("key"), "keys"), "key", "left_semi")
+    """The documents that have one of the keys; a counted, bounded set of keys is broadcast, any other is shuffled."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
 def repeated_runs(docs: DataFrame, prints: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
