@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.words import held, slices
+from termloom.llm.words import held, released, slices
 from termloom.session import ship, written
 
 CAPACITY = 2048
@@ -74,9 +74,8 @@ class Tokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._made = Tokenizer.from_file(path)
+        self._path, self._made = path, None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         # a byte-level vocabulary writes each byte as a character: printable ones as themselves, the rest from 256 on
@@ -86,6 +85,8 @@ class Tokens:
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in self._special}
         self._between = max(told["model"]["vocab"].values()) + 1
         self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={BETWEEN: self._between})
+        del told, ranks
+        released()
         self._number: dict[str, int] = {}
         self._again: list[str] = []
         self._ids, self._size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -94,6 +95,10 @@ class Tokens:
 
     def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, end to end, and how many each has, by tokenizers itself; parts are words of one sequence."""
+        if self._made is None:
+            from tokenizers import Tokenizer
+
+            self._made = Tokenizer.from_file(self._path)
         made = self._made.encode(parts, is_pretokenized=True, add_special_tokens=False)
         of = np.asarray(made.word_ids, np.int64)
         return np.asarray(made.ids, np.uint32), np.bincount(of, minlength=len(parts))
