@@ -13,6 +13,8 @@ once. What regions still hold in different components joins recursively: large
 regions are dealt anew to more parts, of which each set shows only its rarest, and
 regions take pivots until every pair of different components in them was compared,
 by sizes and parity sketches first, which bound the distance, then by their sets.
+Sketches grow with the sets, about 3 bits a shingle, so that they bound distances of
+long texts too; only sets of pairs that sketches leave open are made and moved.
 So no link between components is missed, and n copies mostly cost n comparisons.
 
 Documents of equal sets are one class throughout; classes are what is joined.
@@ -47,8 +49,10 @@ PIVOTS = 64
 REGION = 4096
 #: Dealings that are tried for a set with many empty parts.
 SEEDS = 6
-#: 64-bit words of a set's parity sketch.
+#: 64-bit words of a set's short parity sketch.
 SKETCH = 8
+#: Bits a shingle that a set's long parity sketch has at least; their number is a power of two.
+WIDE = 2
 #: Parts of the finer dealing for each one that a set has to show.
 FINER = 4
 
@@ -197,14 +201,14 @@ def _finer(percent: int):
     return run
 
 
-def refined(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def refined(nodes: DataFrame, classes: Classes, percent: int) -> DataFrame:
     """(part, node): regions of unresolved classes, by each one's rarest parts of a finer dealing.
 
     Copies that differ from a common source by more than the threshold have enough
     parts of their own to meet nobody; those nearer were joined by their pivot.
     """
     fine = written(
-        sets.join(nodes, "node", "left_semi").mapInArrow(_finer(percent), "node long, window int, part long, need int"), "fine"
+        classes.sets(nodes).mapInArrow(_finer(percent), "node long, window int, part long, need int"), "fine"
     )
     often = fine.groupBy("part").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node", "window").orderBy("often", "part")
@@ -271,17 +275,29 @@ def _dealer(k: int, percent: int, names: Names):
     return run
 
 
-SET_COLUMNS = ["node", "n", *(f"s{i}" for i in range(SKETCH)), "shingles"]
-SETS = ", ".join(f"{c} {'array<long>' if c == 'shingles' else 'long'}" for c in SET_COLUMNS)
+SETS = "node long, shingles array<long>"
+SKETCH_COLUMNS = ["node", "n", *(f"s{i}" for i in range(SKETCH)), "wide"]
+SKETCHES = ", ".join(f"{c} {'binary' if c == 'wide' else 'long'}" for c in SKETCH_COLUMNS)
 
 
-def parities(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each set SKETCH words of parity bits: two sets differ in no more bits than in shingles."""
-    n, bits = len(bounds) - 1, 64 * SKETCH
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    where = owner * bits + (mixed(sets ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(where, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<u8").reshape(n, SKETCH)
+def parities(sets: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each set 64-bit words of parity bits: two sets differ in no more bits than in shingles.
+
+    The number of words is a power of two that follows the size. Halves laid upon
+    each other by xor are the sketch of half as many words.
+    """
+    size = np.diff(bounds)
+    words = np.maximum(SKETCH, (1 << np.ceil(np.log2(np.maximum(WIDE * size, 1))).astype(np.int64)) // 64)
+    base = np.concatenate([[0], np.cumsum(64 * words)])
+    owner = np.repeat(np.arange(len(size)), size)
+    place = mixed(sets ^ np.uint64(0xE7037ED1A0B428DB)) & (64 * words[owner] - 1).astype(np.uint64)
+    odd = (np.bincount(base[owner] + place.astype(np.int64), minlength=base[-1]) & 1).astype(np.uint8)
+    return np.split(np.packbits(odd, bitorder="little").view("<u8"), base[1:-1] // 64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set that has so many words, a power of two below its own."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def near_enough(a: str, b: str, percent: int):
@@ -292,37 +308,89 @@ def near_enough(a: str, b: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _setter(k: int):
+def _setter(k: int, names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sets, bounds = shingle_sets(batch.column("text"), k)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(names.of(sets, bounds)[0]), lists], names=["node", "shingles"])
+
+    return run
+
+
+def _sketcher(k: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 sets, bounds = shingle_sets(batch.column("text"), k)
-                words = parities(sets, bounds)
+                wide = parities(sets, bounds)
+                short = np.array([folded(w, SKETCH) for w in wide], "<u8").reshape(-1, SKETCH).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("node"),
+                        pa.array(names.of(sets, bounds)[0]),
                         pa.array(np.diff(bounds)),
-                        *(pa.array(signed(np.ascontiguousarray(words[:, i]))) for i in range(SKETCH)),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(sets))),
+                        *(pa.array(np.ascontiguousarray(short[:, i])) for i in range(SKETCH)),
+                        pa.array([w.tobytes() for w in wide], pa.binary()),
                     ],
-                    names=SET_COLUMNS,
+                    names=SKETCH_COLUMNS,
                 )
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are within the threshold; only the sets of these are moved.
+def _open(percent: int):
+    """(u, v) of the pairs that sizes and long sketches leave open; all linked ones are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            stays = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            a, b = batch.column("a"), batch.column("b")
+            for i in np.flatnonzero(stays).tolist():
+                x, y = (np.frombuffer(c[i].as_buffer(), "<u8") for c in (a, b))
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                stays[i] = differ * (100 + percent) <= (n[i] + m[i]) * (100 - percent)
+            yield batch.select(["u", "v"]).filter(pa.array(stays))
+
+    return run
+
+
+class Classes:
+    """The unresolved classes: their sketches, and their sets by need.
 
-    Each v is compared with few u, so its set is dealt first and meets the sets of
-    the u, which many v share.
+    active has the node and the key of one text of each; repeated tells whether
+    texts have rows of the same key.
     """
-    some = lambda c: sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
-    a = some("u").select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = some("v").select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+
+    def __init__(self, docs: DataFrame, active: DataFrame, shingle: int, names: Names, repeated: bool):
+        self.docs, self.active, self.shingle, self.names, self.repeated = docs, active, shingle, names, repeated
+        made = self._texts(active.select("key")).mapInArrow(_sketcher(shingle, names), SKETCHES)
+        self.sketches = written(made.dropDuplicates(["node"]) if repeated else made, "sketches")
+
+    def _texts(self, keys: DataFrame) -> DataFrame:
+        rows = _only(self.docs, keys).select("key", "text")
+        return (rows.dropDuplicates(["key", "text"]) if self.repeated else rows).select("text")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of some classes, made from their texts."""
+        keys = written(self.active.join(nodes, "node", "left_semi").select("key"), "keys")
+        return self._texts(keys).mapInArrow(_setter(self.shingle, self.names), SETS)
+
+
+def verified(pairs: DataFrame, classes: Classes, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets are within the threshold; only sets of pairs that sketches leave open are moved."""
+    side = lambda node, n, wide: classes.sketches.select(F.col("node").alias(node), F.col("n").alias(n), F.col("wide").alias(wide))
+    both = pairs.join(side("v", "m", "b"), "v").join(side("u", "n", "a"), "u").select("u", "v", "n", "m", "a", "b")
+    left = written(both.mapInArrow(_open(percent), "u long, v long"), "open")
+    nodes = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = written(classes.sets(nodes), "sets")
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return (
-        pairs.join(b, "v")
+        left.join(b, "v")
         .join(a, "u")
         .select("u", "v", both.alias("both"), (F.size("a") + F.size("b") - both).alias("all"))
         .where(F.col("both") * 100 >= F.col("all") * percent)
@@ -339,7 +407,7 @@ def _unresolved(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return named.join(several, "part")
 
 
-def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def link_components(members: DataFrame, classes: Classes, percent: int) -> DataFrame | None:
     """(node, root) of linked classes, from region members (part, node); None if nothing is linked."""
     tested = roots = None
     pivots = 0
@@ -359,11 +427,10 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 large = left.join(size.where("large"), "part", "left_semi")
                 if not large.isEmpty():
                     few = left.join(size.where("large"), "part", "left_anti").select("part", "node")
-                    members = few.unionByName(refined(large.select("node").distinct(), sets, percent)).distinct()
+                    members = few.unionByName(refined(large.select("node").distinct(), classes, percent)).distinct()
                     continue
             ranked = left.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("node")))
-            sketches = sets.drop("shingles")
-            ranked = written(ranked.join(sketches, "node"), "ranked")
+            ranked = written(ranked.join(classes.sketches.drop("wide"), "node"), "ranked")
             head = ranked.where(F.col("at") <= pivots)
             meets = (F.col("x.part") == F.col("y.part")) & (F.col("x.at") > F.col("y.at")) & (F.col("x.root") != F.col("y.root"))
             pairs = (
@@ -377,7 +444,7 @@ def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             pivots *= PIVOTS
         pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(verified(pairs, sets, percent), "links")
+        new = written(verified(pairs, classes, percent), "links")
         if new.isEmpty():
             continue
         # the components so far count as stars, so that new links alone take rounds
@@ -418,9 +485,8 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
     beside = parts.select("part", "node", F.lag("node").over(by_part).alias("a"), F.lead("node").over(by_part).alias("b"))
     members = written(beside.where("a != node or b != node").select("part", "node").distinct(), "members")
     active = written(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key"), "active")
-    texts = _only(docs, active.select("key")).select("key", "text").join(active, "key").dropDuplicates(["node"])
-    sets = written(texts.select("node", "text").mapInArrow(_setter(shingle), SETS), "sets")
-    roots = link_components(members, sets, percent)
+    repeated = not profile.groupBy("key").count().where("count > 1").isEmpty()
+    roots = link_components(members, Classes(docs, active, shingle, names, repeated), percent)
     named = classes.select("node", "first", F.col("node").alias("root"))
     if roots is not None:
         rooted = classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

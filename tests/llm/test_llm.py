@@ -494,6 +494,21 @@ def test_jaccard(spark, monkeypatch, shingle, percent, region):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_sketches_bound_differences():
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 40, 700, 900, 5000]
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in sizes]
+    near = [np.unique(np.concatenate([x[len(x) // 10 :], rng.integers(0, 1 << 63, len(x) // 10).astype(np.uint64)])) for x in sets]
+    every = [*sets, *near]
+    made = jaccard.parities(np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])]))
+    assert len(made) == len(every) and len(made[5]) * 64 >= jaccard.WIDE * 5000
+    for x, a in zip(every, made, strict=True):
+        for y, b in zip(every, made, strict=True):
+            words = min(len(a), len(b))
+            bits = int(np.bitwise_count(jaccard.folded(a, words) ^ jaccard.folded(b, words)).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (bits > 0) == (len(np.setxor1d(x, y)) > 0)
+
+
 def test_jaccard_names_that_collide(spark):
     """Classes whose first names are equal are told apart, whatever their number."""
     docs = [(i, f"a{i % 7} b{i % 7} c d e f g h i j k{i % 3}") for i in range(40)] + [(50, "x")]
