@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, decontaminate, extract, jaccard, langid, lines, packing, rules, substrings, toxicity
+from termloom.llm import chat, codes, decontaminate, extract, jaccard, langid, lines, packing, periods, prefixes, rules, substrings, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,15 @@ QUERIES = {
         decontaminate.op8_aho_corasick_decontamination,
         chat.op9_event_sourced_chat,
         jaccard.op10_jaccard_metric_join,
+        codes.op11_vector_codes,
+        prefixes.op12_prefix_token_counts,
+        periods.op13_periodic_runs,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     lines.op2_winnow_line_dedup.__name__: lines.OP2_SQL,
     rules.op6_rule_ledger.__name__: rules.OP6_SQL,
+    codes.op11_vector_codes.__name__: codes.op11_sql(),
+    periods.op13_periodic_runs.__name__: periods.OP13_SQL,
 }
