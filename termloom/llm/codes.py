@@ -288,7 +288,7 @@ def op11_sql(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, s
         f"""
 WITH kept AS (
   SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
 ), part AS (
   SELECT r, (i - 1) * {parts} // len(x) AS p, i, floor({scale} * x[i]::DOUBLE)::BIGINT AS c
   FROM (SELECT r, x, unnest(range(1, len(x) + 1)) AS i FROM kept)

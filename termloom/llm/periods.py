@@ -233,9 +233,9 @@ OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          coalesce(xor(list_reduce([4294967295::UBIGINT] || list_transform(
-           string_split(doc_id::VARCHAR, ''), c -> ascii(c)::UBIGINT),
-           (a, b) -> list_reduce([xor(a, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
-             (c, z) -> xor(c >> 1, 3988292384::UBIGINT * (c & 1)))), 4294967295::UBIGINT), 1)::BIGINT AS h
+           string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+           lambda a, b: list_reduce([xor(a, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, z: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))), 4294967295::UBIGINT), 1)::BIGINT AS h
   FROM documents
 ), t AS (
   SELECT *, len(w) AS n, h // 10 AS g FROM d
