@@ -34,6 +34,8 @@ from termloom.session import ship, written
 
 CAPACITY = 2048
 END = 0
+#: Code points of a part from which tokenizers encodes it: on long runs of white space the faster library's pattern fails.
+LONG = 4096
 #: Parts of texts whose ids a worker keeps; beyond it only those met lately are.
 CACHE = 3 << 16
 #: Text that is encoded at once.
@@ -59,6 +61,19 @@ def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
+def known_split(told: dict) -> bool:
+    """Whether a tokenizer's file splits texts by PATTERN and nothing else."""
+    pre = told.get("pre_tokenizer") or {}
+    return (
+        told.get("normalizer") is None
+        and pre.get("type") == "ByteLevel"
+        and not pre.get("add_prefix_space")
+        and pre.get("use_regex", True)
+        and told["model"].get("type", "BPE") == "BPE"
+        and not any(told["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    )
+
+
 class Tokens:
     """Ids of texts as a byte-level tokenizer of the tokenizers library gives them, a slice of texts at a time.
 
@@ -69,7 +84,8 @@ class Tokens:
     Parts are numbered as they come; when there are many, those met again stay.
 
     New parts are merged by tiktoken under the file's own vocabulary, which gives the
-    same ids several times faster; texts with a special string go to tokenizers.
+    same ids several times faster; parts of LONG code points or more, texts with a
+    special string, and all texts of a file that splits them in another way go to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -82,6 +98,7 @@ class Tokens:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(own)))}
         self._special = [t["content"] for t in told.get("added_tokens", [])]
+        self._known = known_split(told)
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in self._special}
         self._between = max(told["model"]["vocab"].values()) + 1
         self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={BETWEEN: self._between})
@@ -99,10 +116,17 @@ class Tokens:
             from tokenizers import Tokenizer
 
             self._made = Tokenizer.from_file(self._path)
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         made = self._made.encode(parts, is_pretokenized=True, add_special_tokens=False)
         of = np.asarray(made.word_ids, np.int64)
         return np.asarray(made.ids, np.uint32), np.bincount(of, minlength=len(parts))
 
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text, by tokenizers itself."""
+        self._library([])
+        return np.asarray(self._made.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _add(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         n = len(self._number)
         self._number.update(zip(parts, range(n, n + len(parts)), strict=True))
@@ -110,8 +134,12 @@ class Tokens:
 
     def _encode(self, parts: list[str]) -> None:
         """New parts are encoded at once, kept apart by a string that none of them has."""
+        long = [p for p in parts if len(p) >= LONG]
+        if long:
+            self._add(long, *self._library(long))
+            parts = [p for p in parts if len(p) < LONG]
         joined = BETWEEN.join(parts)
-        if joined.count(BETWEEN) != len(parts) - 1:
+        if not parts or joined.count(BETWEEN) != len(parts) - 1:
             self._add(parts, *self._library(parts))
             return
         ids = self._fast.encode_to_numpy(joined, allowed_special={BETWEEN})
@@ -162,6 +190,8 @@ class Tokens:
         if len(self._number) > CACHE:
             self._forget()
         texts = pc.fill_null(texts, "")
+        if not self._known:
+            return [self._whole(x).astype("<u4", copy=False).tobytes() for x in texts.to_pylist()]
         odd = pc.match_substring_regex(texts, f" [{_SPACES}]")
         for x in self._special:
             odd = pc.or_(odd, pc.match_substring(texts, x))
@@ -316,34 +346,71 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int,
     return tuple(out)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int) -> Iterator[tuple[int, ...]]:
-    """Up to limit fillings of room, none of which an earlier one dominates, made as they are asked for.
+def every(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """All fillings of room to which no item left can be added, larger items first. lengths increase."""
+    order = lengths[::-1]
+    chosen: list[int] = []  # how many of each length so far
+    gap, down = room, True
+    while True:
+        while down and len(chosen) < len(order):
+            x = order[len(chosen)]
+            chosen.append(min(counts[x], gap // x))
+            gap -= chosen[-1] * x
+        if not any(x <= gap and counts[x] > n for x, n in zip(order, chosen, strict=True)):
+            yield tuple(x for x, n in zip(order, chosen, strict=True) for _ in range(n))
+        while chosen and not chosen[-1]:
+            chosen.pop()
+        if not chosen:
+            return
+        chosen[-1] -= 1
+        gap += order[len(chosen) - 1]
+        down = True
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings of room that none before dominates, the fullest first, made as they are asked for.
 
-    The first is the fullest; each next one is the fullest whose largest item is
-    smaller, so every first choice is tried in turn. lengths increase.
+    None stands for one that was looked at and dominated, so a search can count it. lengths increase.
     """
-    out: list[tuple[int, ...]] = []
-    while len(out) < limit:
-        found = fullest(lengths, counts, room)
-        if not any(dominates(f, found) for f in out):
+    usable = [x for x in lengths if x <= room]
+    out = [fullest(usable, counts, room)]
+    yield out[0]
+    for found in every(usable, counts, room):
+        if any(dominates(f, found) for f in out):
+            yield None
+        else:
             out.append(found)
             yield found
-        if not found:
-            break
-        lengths = [x for x in lengths if x < found[0]]
+
+
+#: Groupings of a filling's items that are tried; without a finding it counts as not dominated, which costs time alone.
+GROUPINGS = 200
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether each item of a can hold a group of items of b that nothing else holds; first fit decides."""
-    room = sorted(a)
-    for item in sorted(b, reverse=True):
-        for k, r in enumerate(room):
-            if r >= item:
-                room[k] = r - item
+    """Whether each item of b can be given to an item of a that holds all it is given."""
+    if sum(b) > sum(a):
+        return False
+    items, room, tried = sorted(b, reverse=True), sorted(a), 0
+    todo: list[tuple[int, int]] = []  # the item given last, and the place it has
+    k = at = 0
+    while True:
+        while k < len(items):
+            while at < len(room) and (room[at] < items[k] or at and room[at] == room[at - 1]):
+                at += 1
+            tried += 1
+            if at == len(room) or tried > GROUPINGS:
                 break
+            room[at] -= items[k]
+            todo.append((k, at))
+            k, at = k + 1, 0
         else:
+            return True
+        if not todo or tried > GROUPINGS:
             return False
-    return True
+        k, at = todo.pop()
+        room[at] += items[k]
+        at += 1
 
 
 def needed(counts: dict[int, int], capacity: int) -> int:
@@ -354,26 +421,34 @@ def needed(counts: dict[int, int], capacity: int) -> int:
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int = CAPACITY, *, branches: int = 3, budget: int = 4_000
+    counts: dict[int, int], capacity: int = CAPACITY, *, budget: int = 4_000
 ) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used: the best found within a budget of bins opened.
+    """Fillings and how often each is used: the fewest bins, or the best found within a budget of fillings looked at.
 
-    Depth first, the fullest filling first. Best fit decreasing is the first
-    incumbent; a branch ends where its bins and those its tokens still need
-    reach the incumbent, the search where an incumbent meets the lower bound.
+    Depth first; around the largest item all undominated fillings are tried, the fullest
+    first, and each of them as often as counts allow, then less often. Best fit decreasing
+    is the first incumbent; a branch ends where its bins and those that its tokens still
+    need reach the incumbent, the search where an incumbent meets the lower bound.
     """
     left = {k: n for k, n in sorted(counts.items()) if n > 0}
     best, bound = best_fit(left, capacity), needed(left, capacity)
     best_bins, bins, total = sum(n for _, n in best), 0, sum(k * n for k, n in left.items())
     plan: list[tuple[tuple[int, ...], int]] = []
-    open_choices: list[Iterator[tuple[int, ...]]] = []
+    open_choices: list[Iterator[tuple[tuple[int, ...], int] | None]] = []
 
-    def options() -> Iterator[tuple[int, ...]]:
+    def options() -> Iterator[tuple[tuple[int, ...], int] | None]:
         counts = dict(left)
         top = max(x for x, n in counts.items() if n > 0)
         counts[top] -= 1
         some = [x for x, n in counts.items() if n > 0]
-        return ((top, *f) for f in fillings(some, counts, capacity - top, branches))
+        for found in fillings(some, counts, capacity - top):
+            if found is None:
+                yield None
+                continue
+            whole = (top, *found)
+            most = min((counts[x] + (x == top)) // whole.count(x) for x in set(whole))
+            for times in range(most, 0, -1):
+                yield whole, times
 
     def apply(filling: tuple[int, ...], times: int, sign: int) -> None:
         nonlocal bins, total
@@ -383,22 +458,25 @@ def bin_completion(
         total -= sign * times * sum(filling)
 
     while best_bins > bound and budget > 0:
-        if total and bins + -(-total // capacity) < best_bins:
+        if total and bins + max(-(-total // capacity), sum(n for k, n in left.items() if 2 * k > capacity)) < best_bins:
             open_choices.append(options())
         else:
             if not total and bins < best_bins:
                 best, best_bins = list(plan), bins
             apply(*plan.pop(), -1)
-        while open_choices and (filling := next(open_choices[-1], None)) is None:
-            open_choices.pop()
-            if plan:
-                apply(*plan.pop(), -1)
+        while open_choices and budget > 0:
+            budget -= 1
+            chosen = next(open_choices[-1], ())
+            if chosen:
+                apply(*chosen, 1)
+                plan.append(chosen)
+                break
+            if chosen == ():
+                open_choices.pop()
+                if plan:
+                    apply(*plan.pop(), -1)
         if not open_choices:
             break
-        times = min(left[x] // filling.count(x) for x in set(filling))
-        apply(filling, times, 1)
-        plan.append((filling, times))
-        budget -= 1
     return best
 
 
