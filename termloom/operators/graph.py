@@ -38,23 +38,50 @@ def transitions(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", stats.by_sum(F.col("w"), "src").alias("w"))
 
 
-def hub_scores(edges: DataFrame, rounds: int = 10, stay: float = 0.15) -> DataFrame:
-    """(node, score): the long-run share of a random walk that restarts anywhere; power iteration."""
+#: Steps of a walk that one plan has; their sums are stored then, and looked at.
+STEPS = 10
+
+
+def hub_scores(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 400, stay: float = 0.15) -> DataFrame:
+    """(node, score): the long-run share of a random walk that restarts anywhere.
+
+    Power iteration until a step moves less than tolerance in all; raises where
+    that isn't reached in so many rounds. What ends at nodes without a way on
+    restarts as well.
+    """
     p = written(transitions(edges), "transitions")
     nodes = written(p.select(F.col("src").alias("node")).union(p.select("dst")).distinct(), "nodes")
     n = nodes.count()
     score = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
-    for _ in range(rounds):
-        sent = score.join(p, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("in"))
-        moved = nodes.join(sent, "node", "left").select("node", F.coalesce("in", F.lit(0.0)).alias("in"))
-        lost = F.lit(1.0) - F.lit(moved.agg(F.sum("in")).first()[0] or 0.0)
-        score = written(moved.select("node", (stay / n + (1 - stay) * (F.col("in") + lost / n)).alias("score")), "hubs")
-    return score
-
-
-def edge_hubs(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """(src, dst, score): a node's score times the transition."""
-    return transitions(edges).join(scores.withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("score") * F.col("w")).alias("score"))
+    for _ in range(0, rounds, STEPS):
+        before = score
+        for _ in range(STEPS):
+            before = score
+            sent = score.join(p, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("in"))
+            moved = nodes.join(sent, "node", "left").select("node", F.coalesce("in", F.lit(0.0)).alias("in"))
+            # one row: what is lost at the ends of ways
+            lost = moved.agg((F.lit(1.0) - F.coalesce(F.sum("in"), F.lit(0.0))).alias("lost"))
+            score = moved.crossJoin(F.broadcast(lost)).select("node", (stay / max(n, 1) + (1 - stay) * (F.col("in") + F.col("lost") / max(n, 1))).alias("score"))
+        both = score.join(before.withColumnRenamed("score", "before"), "node")
+        score = written(both, "hubs")
+        if (score.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < tolerance:
+            return score.select("node", "score")
+        score = score.select("node", "score")
+    raise RuntimeError(f"the walk still moves after {rounds} rounds")
+
+
+def backwards(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+
+
+def walked_edges(edges: DataFrame, **options) -> DataFrame:
+    """(src, dst, score): how often walks along the edges, and as many against them, take an edge in the long run."""
+    flows = []
+    for e in (edges, backwards(edges)):
+        steps = transitions(e).join(hub_scores(e, **options).withColumnRenamed("node", "src"), "src")
+        flows.append(steps.select("src", "dst", (F.col("score") * F.col("w") / 2).alias("score")))
+    ways = flows[0].unionByName(flows[1].select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
+    return ways.groupBy("src", "dst").agg(F.sum("score").alias("score"))
 
 
 def degree_edge_hubs(edges: DataFrame) -> DataFrame:
@@ -78,21 +105,68 @@ def disjoint_edges(scored: DataFrame, most: int = 200) -> list[tuple]:
     return out
 
 
-def shortest_paths(edges: DataFrame, hubs: DataFrame, rounds: int = 20, backwards: bool = False) -> DataFrame:
-    """(node, hub, distance) of every node that a hub reaches; rounds bound the number of edges."""
-    e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w") if backwards else edges
-    best = written(hubs.select("node", F.col("node").alias("hub"), F.lit(0.0).alias("distance")), "paths")
-    front = best
+def shortest_paths(edges: DataFrame, hubs: DataFrame, limit: float | None = None, rounds: int = 10_000) -> DataFrame:
+    """(node, hub, distance) of every node that a hub reaches, within a distance if there is a limit.
+
+    hubs has (node, hub): a hub may begin at several nodes. Distances fall until none
+    does any more; a round goes one edge on from those that fell and is stored once.
+    Raises if so many rounds don't suffice; as weights aren't negative, that takes a
+    path of more edges.
+    """
+    best = written(hubs.select("node", "hub", F.lit(0.0).alias("distance"), F.lit(True).alias("fell")).distinct(), "paths")
     for _ in range(rounds):
-        reached = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "hub").agg(F.min(F.col("distance") + F.col("w")).alias("d"))
-        better = written(
-            reached.join(best, ["node", "hub"], "left").where("distance is null or d < distance").select("node", "hub", F.col("d").alias("distance")), "front"
-        )
-        if better.isEmpty():
-            break
-        best = written(best.unionByName(better).groupBy("node", "hub").agg(F.min("distance").alias("distance")), "paths")
-        front = better
-    return best
+        front = best.where("fell").join(edges, F.col("node") == F.col("src"))
+        reached = front.select(F.col("dst").alias("node"), "hub", (F.col("distance") + F.col("w")).alias("distance"))
+        if limit is not None:
+            reached = reached.where(F.col("distance") <= limit)
+        known = F.min(F.when(F.col("known"), F.col("distance")))
+        both = best.select("node", "hub", "distance", F.lit(True).alias("known")).unionByName(reached.withColumn("known", F.lit(False)))
+        both = both.groupBy("node", "hub").agg(F.min("distance").alias("distance"), known.alias("_old"))
+        fell = F.col("_old").isNull() | (F.col("distance") < F.col("_old"))
+        best = written(both.select("node", "hub", "distance", fell.alias("fell")), "paths")
+        if best.where("fell").isEmpty():
+            return best.select("node", "hub", "distance")
+    raise RuntimeError(f"distances still fall after {rounds} rounds")
+
+
+def edge_distances(edges: DataFrame, hubs: DataFrame, limit: float | None = None) -> DataFrame:
+    """(src, dst, hub, ahead, behind, distance): how far edges are from hub edges (src, dst, hub).
+
+    The line graph isn't made: the way to an edge is that to its start and the edge
+    itself, so distances of nodes give those of edges. Ways begin at either end of a
+    hub and the longer one counts, ahead along the edges and behind against them;
+    distance is the shorter of both.
+    """
+    ends = hubs.select("hub", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("src").alias("node")), F.struct(F.lit("b").alias("end"), F.col("dst").alias("node")))).alias("e"))
+    start = ends.select(F.col("e.node").alias("node"), F.struct("hub", F.col("e.end").alias("end")).alias("hub"))
+    sides = {}
+    for name, e in (("ahead", edges), ("behind", backwards(edges))):
+        found = shortest_paths(e, start, limit)
+        way = e.join(found, F.col("src") == F.col("node")).groupBy("src", "dst", F.col("hub.hub").alias("hub"))
+        sides[name] = way.agg(F.max(F.col("distance") + F.col("w")).alias(name))
+    ahead, behind = sides["ahead"], sides["behind"].select(F.col("dst").alias("src"), F.col("src").alias("dst"), "hub", "behind")
+    both = ahead.join(behind, ["src", "dst", "hub"], "full")
+    return both.withColumn("distance", F.least("ahead", "behind"))
+
+
+def nearest_edge_hubs(distances: DataFrame) -> DataFrame:
+    """(src, dst, hub, distance): the nearest hub edge of each edge, ties by hub."""
+    best = distances.groupBy("src", "dst").agg(F.min(F.struct("distance", "hub")).alias("b"))
+    return best.select("src", "dst", "b.hub", "b.distance")
+
+
+def hub_totals(nearest: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hub, edges, total): the edges of each hub's cell and the sum of their distances over the weight of the graph."""
+    whole = edges.agg(F.sum("w").alias("all"))
+    cells = nearest.groupBy("hub").agg(F.count("*").alias("edges"), F.sum("distance").alias("sum"))
+    return cells.crossJoin(F.broadcast(whole)).select("hub", "edges", stats.ratio(F.col("sum"), F.col("all")).alias("total"))
+
+
+def strongest(edges: DataFrame, n: int) -> DataFrame:
+    """(node, hub): the n nodes with the largest sum of weights of their edges, ties by name; each is its own hub."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "w")
+    best = ends.groupBy("node").agg(F.sum("w").alias("s")).orderBy(F.desc("s"), "node").limit(n)
+    return best.select("node", F.col("node").alias("hub"))
 
 
 def voronoi(distances: DataFrame) -> DataFrame:

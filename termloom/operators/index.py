@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
-from termloom.session import written
+from termloom.session import scratch_path, written
 
 #: How each gram field is made of a text's tokens.
 GRAMS: dict[str, Callable[[Column], Column]] = {
@@ -43,8 +43,32 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
     """What tells whether the files of a table are those that an index was made of."""
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(where)
-    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+    found = where.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def kept(spark: SparkSession, sources: list[str], name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives for source tables, written once and read after; changed source files make it anew."""
+    known = spark.sparkContext.__dict__.setdefault("_termloom_indexes", {})
+    at = (name, *(_stamp(spark, s) for s in sources))
+    if at not in known:
+        known[at] = written(make(), name)
+    return known[at]
+
+
+def kept_path(spark: SparkSession, sources: list[str], name: str, make: Callable[[str], None]) -> str:
+    """Where make(path) has written what it makes of source tables; as kept()."""
+    known = spark.sparkContext.__dict__.setdefault("_termloom_indexes", {})
+    at = (name, "path", *(_stamp(spark, s) for s in sources))
+    if at not in known:
+        path = scratch_path(spark, name)
+        make(path)
+        known[at] = path
+    return known[at]
 
 
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], key: str = "doc_id") -> dict[str, DataFrame]:

@@ -128,6 +128,73 @@ def reweighted(rows: DataFrame, rounds: int = 4) -> tuple[DataFrame, list[list[f
     return rows, history
 
 
+# -- the joint objective -----------------------------------------------------------
+
+
+def joint_gradient(cells: DataFrame, entities: DataFrame, v: list[float], w: list[float]) -> tuple[float, list[float], list[float]]:
+    """The joint objective at weights v of entity features and w of compatibility features, and its gradient.
+
+    cells (query_id, doc_id, name, g, rel): the compatibility features of a document and
+    an entity; entities (query_id, name, f): an entity's own. The objective is, over
+    relevant documents, the logarithm of the sum over entities of softmaxed entity
+    scores times softmaxed compatibilities. Its derivatives are differences of means of
+    features: those of the entities as the document has them, less those before it is
+    seen. One job gives all of it; a row of sums comes back.
+    """
+    dot = lambda c, x: F.aggregate(F.zip_with(c, F.array(*[F.lit(float(y)) for y in x]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    e = entities.withColumn("_e", stats.softmax(dot("f", v), "query_id"))
+    expected = [F.sum(F.col("_e") * F.get("f", F.lit(k))).over(Window.partitionBy("query_id")).alias(f"_m{k}") for k in range(len(v))]
+    e = e.select("query_id", "name", "f", "_e", *expected)
+    c = cells.where("rel > 0").withColumn("_c", stats.softmax(dot("g", w), "query_id", "doc_id"))
+    both = c.join(e, ["query_id", "name"])
+    joint = F.col("_e") * F.col("_c")
+    sums = [F.sum(joint * F.get("f", F.lit(k))).alias(f"_a{k}") for k in range(len(v))]
+    sums += [F.sum(joint * F.get("g", F.lit(k))).alias(f"_b{k}") for k in range(len(w))]
+    sums += [F.sum(F.col("_c") * F.get("g", F.lit(k))).alias(f"_d{k}") for k in range(len(w))]
+    sums += [F.first(f"_m{k}").alias(f"_m{k}") for k in range(len(v))]
+    docs = both.groupBy("query_id", "doc_id").agg(F.sum(joint).alias("_s"), *sums)
+    docs = docs.where("_s > 0")
+    total = docs.agg(
+        F.sum(F.ln("_s")),
+        *[F.sum(F.col(f"_a{k}") / F.col("_s") - F.col(f"_m{k}")) for k in range(len(v))],
+        *[F.sum(F.col(f"_b{k}") / F.col("_s") - F.col(f"_d{k}")) for k in range(len(w))],
+    ).first()
+    value, *grad = [x or 0.0 for x in total]
+    return value, grad[: len(v)], grad[len(v) :]
+
+
+def train_joint(
+    cells: DataFrame, entities: DataFrame, v: list[float], w: list[float], rounds: int = 20, inner: int = 3, tolerance: float = 1e-6
+) -> tuple[list[float], list[float], list[float]]:
+    """Both weight vectors by ascent on their gradients in turn: compatibilities, then entities, inner steps each.
+
+    A step that loses is halved until it gains, and the next one begins twice as long,
+    so the curve never falls; it ends after rounds or where a round gains too little.
+    """
+    value, gv, gw = joint_gradient(cells, entities, v, w)
+    curve, steps = [value], {"w": 1.0, "v": 1.0}
+    for _ in range(rounds):
+        begun = value
+        for side in ("w", "v"):
+            for _ in range(inner):
+                grad = gw if side == "w" else gv
+                size = math.sqrt(sum(x * x for x in grad))
+                while steps[side] > 1e-9 and size > tolerance:
+                    moved = [x + steps[side] * g / size for x, g in zip(w if side == "w" else v, grad, strict=True)]
+                    found = joint_gradient(cells, entities, v if side == "w" else moved, moved if side == "w" else w)
+                    if found[0] > value:
+                        value, gv, gw = found
+                        w, v = (moved, v) if side == "w" else (w, moved)
+                        steps[side] *= 2
+                        break
+                    steps[side] /= 2
+            steps[side] = max(steps[side], 1e-3)
+        curve.append(value)
+        if value - begun < tolerance:
+            break
+    return v, w, curve
+
+
 # -- transforms of learning-to-rank rows ------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
+from termloom.session import written
 
 K1, B = 1.2, 0.75
 
@@ -116,11 +117,39 @@ class Index:
         }[similarity]()
         return rows.select(*[c for c in q.columns], "doc_id", "tf", (F.col("boost") * value).alias("score"))
 
-    def search(self, q: DataFrame, k: int | None = 10, similarity: str = "bm25", digits: int | None = None, **options) -> DataFrame:
+    def holding(self, q: DataFrame) -> DataFrame:
+        """(query_id, doc_id): the documents that have every term of a query; a term of no document leaves none.
+
+        The rarest term of a query finds the first documents, and each further one must
+        be among the terms of those still left: the second rarest, the next two, four
+        and so on, so common terms meet the few documents that have the rare ones, and
+        a step costs one join however many terms a query has. q has (query_id, term).
+        """
+        order = Window.partitionBy("query_id").orderBy(F.col("df").asc_nulls_first(), "term")
+        asked = q.select("query_id", *self.on, "term").distinct().join(self.terms, [*self.on, "term"], "left")
+        asked = asked.select("query_id", *self.on, "term", F.row_number().over(order).alias("k"))
+        asked = written(asked, "required")
+        most = asked.agg(F.max("k")).first()[0] or 0
+        p = self.p.select(*self.on, "doc_id", "term")
+        left = asked.where("k = 1").join(p, [*self.on, "term"]).select("query_id", "doc_id")
+        low = 1
+        while low < most:
+            some = asked.where((F.col("k") > low) & (F.col("k") <= 2 * low))
+            need = some.groupBy("query_id").agg(F.count("*").alias("need"))
+            met = left.join(some, "query_id").join(p, [*self.on, "term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("met"))
+            out = left.join(need, "query_id", "left").join(met, ["query_id", "doc_id"], "left")
+            left = written(out.where("need is null or met = need").select("query_id", "doc_id"), "holding")
+            low *= 2
+        return left
+
+    def search(
+        self, q: DataFrame, k: int | None = 10, similarity: str = "bm25", digits: int | None = None, among: DataFrame | None = None, **options
+    ) -> DataFrame:
         """(query_id, doc_id, score, rank): boolean queries of should, must and filter terms.
 
         A document matches if it has every must and filter term and, where a query
-        has no must terms, one should term at least. Filter terms do not score.
+        has no must terms, one should term at least. Filter terms do not score. With
+        among, only its (query_id, doc_id) can match.
         """
         need = q.groupBy("query_id").agg(
             F.count(F.when(F.col("occur") != "should", 1)).alias("need"),
@@ -131,6 +160,8 @@ class Index:
             F.sum(F.when(F.col("occur") != "filter", F.col("score")).otherwise(0.0)).alias("score"),
             F.count(F.when(F.col("occur") != "should", 1)).alias("met"),
         )
+        if among is not None:
+            hit = hit.join(among.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         out = hit.join(need, "query_id").where("met = need").select("query_id", "doc_id", "score")
         return top_k(out, k, digits)
 

@@ -545,7 +545,7 @@ def section_field_query(spark, d):
 # -- context entities ------------------------------------------------------------------------
 
 _UPOOL = f"{sq.BASE}, {re._SENT}, {re._POOL}"
-_UMENTIONS = "names AS (SELECT DISTINCT name, lower(name) AS term FROM links), m AS (SELECT doc_id, name, tf AS n FROM p JOIN names USING (term))"
+_UMENTIONS = re.LINKED_MENTIONS
 _BIGRAMS = f"bt AS (SELECT doc_id, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM documents), bg AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM ({_exploded('bigrams', 'bt', 'doc_id')}) GROUP BY ALL)"
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import stats
-from termloom.operators import index
+from termloom.operators import candidates as cand
+from termloom.operators import index, keystore, learn, nearest, trie
 from termloom.operators import scores as sc
 from termloom.operators import search as se
 from termloom.plans import fields as fl
 from termloom.plans import retrieval as re
 from termloom.plans import sqltext as sq
+from termloom.session import written
 from termloom.sources import sinks
 from termloom.sources import tables as src
 
@@ -316,6 +318,137 @@ def joint_objective(spark, d):
     return sc.marginal(weights, cells).select("query_id", F.col("col").alias("doc_id"), r(F.ln("score"), 6).alias("log_score"))
 
 
+#: Entity features: mentions among the pool and pages that link the name; compatibilities: a document's share of mentions, and that the name is its most frequent.
+_TRAIN = f"""{_LINKED}, {re._QRELS}, pg AS (SELECT name, count(DISTINCT page_id) AS pages FROM links GROUP BY ALL), ent AS (SELECT query_id, ef.name, ln(1 + f) AS f0, ln(1 + pages) AS f1 FROM ef JOIN pg USING (name)),
+sz AS (SELECT doc_id, name, n / sum(n) OVER (PARTITION BY doc_id) AS share, n / max(n) OVER (PARTITION BY doc_id) AS top FROM m), cell AS (SELECT pool.query_id, pool.doc_id, ent.name, coalesce(share, 0) AS g0, coalesce(top, 0) AS g1 FROM pool SEMI JOIN rels USING (query_id, doc_id) JOIN ent USING (query_id) LEFT JOIN sz USING (doc_id, name))"""
+
+
+def training_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(cells, entities) of the joint objective: of all pooled documents that are relevant."""
+    m, pool = re._mentions(spark, d), re._pool(spark, d)
+    f = _edges(spark, d).groupBy("query_id", F.col("dst").alias("name")).agg(F.count("*").alias("n"))
+    pages = src.links(src.table(spark, d, "pages")).distinct().groupBy("name").agg(F.count("*").alias("pages"))
+    ent = f.join(pages, "name").select("query_id", "name", F.array(F.log1p("n"), F.log1p("pages")).alias("f"))
+    by_doc = Window.partitionBy("doc_id")
+    shares = m.select("doc_id", "name", (F.col("n") / F.sum("n").over(by_doc)).alias("share"), (F.col("n") / F.max("n").over(by_doc)).alias("top"))
+    rel = cand.labelled(pool, re._qrels(spark, d)).where("rel > 0").select("query_id", "doc_id", "rel")
+    grid = rel.join(ent.select("query_id", "name"), "query_id").join(shares, ["doc_id", "name"], "left")
+    g = F.array(F.coalesce("share", F.lit(0.0)), F.coalesce("top", F.lit(0.0)))
+    return written(grid.select("query_id", "doc_id", "name", g.alias("g"), "rel"), "cells"), written(ent, "entities")
+
+
+@query(f"""WITH {_TRAIN}, es AS (SELECT *, exp(f0 + f1) / sum(exp(f0 + f1)) OVER (PARTITION BY query_id) AS e FROM ent), em AS (SELECT query_id, sum(e * f0) AS m0, sum(e * f1) AS m1 FROM es GROUP BY ALL),
+cs AS (SELECT *, exp(g0 + g1) / sum(exp(g0 + g1)) OVER (PARTITION BY query_id, doc_id) AS c FROM cell), sj AS (SELECT query_id, doc_id, sum(e * c) AS s, sum(e * c * f0) AS a0, sum(e * c * f1) AS a1, sum(e * c * g0) AS b0, sum(e * c * g1) AS b1, sum(c * g0) AS d0, sum(c * g1) AS d1 FROM cs JOIN es USING (query_id, name) GROUP BY ALL)
+SELECT round(sum(ln(s)), 6) AS objective, round(sum(a0 / s - m0), 6) AS entity_0, round(sum(a1 / s - m1), 6) AS entity_1, round(sum(b0 / s - d0), 6) AS compat_0, round(sum(b1 / s - d1), 6) AS compat_1 FROM sj JOIN em USING (query_id)""")
+def joint_gradient(spark, d):
+    """The joint objective and its gradient where training begins, at weights of 1."""
+    cells, ent = training_tables(spark, d)
+    value, gv, gw = learn.joint_gradient(cells, ent, [1.0, 1.0], [1.0, 1.0])
+    names = ("objective", "entity_0", "entity_1", "compat_0", "compat_1")
+    return spark.createDataFrame([[round(float(x), 6) for x in (value, *gv, *gw)]], ", ".join(f"{n} double" for n in names))
+
+
+@query()
+def joint_training(spark, d):
+    """The curve of the joint objective while both weight vectors are trained in turn, and the weights at its end."""
+    cells, ent = training_tables(spark, d)
+    v, w, curve = learn.train_joint(cells, ent, [1.0, 1.0], [1.0, 1.0], rounds=4, inner=2)
+    return spark.createDataFrame([(k, float(x), v, w) for k, x in enumerate(curve)], "round int, objective double, entity array<double>, compat array<double>")
+
+
+# -- tries of queries -------------------------------------------------------------------------------
+
+_TRIE = f"""{re._TRIE_BASE}, lf AS (SELECT [source, lang] AS path, pool.query_id AS item, score, coalesce(rel, 0) AS rel FROM pool JOIN documents USING (doc_id) LEFT JOIN rels USING (query_id, doc_id)),
+tr AS (SELECT node, item, sum(score) AS score, max(rel) AS rel FROM (SELECT path AS node, * EXCLUDE (path) FROM lf UNION ALL SELECT path[1:1], * EXCLUDE (path) FROM lf) GROUP BY ALL)"""
+
+
+def query_trie(spark, d) -> DataFrame:
+    """Pooled documents by source and language as a trie; items are queries."""
+    rows = cand.labelled(re._pool(spark, d), re._qrels(spark, d)).join(src.table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return trie.rolled(rows.select(F.array("source", "lang").alias("path"), F.col("query_id").alias("item"), "score", "rel"))
+
+
+def _path(df):
+    return df.withColumn("node", F.array_join("node", "/"))
+
+
+@query(f"WITH {_TRIE} SELECT array_to_string(node, '/') AS node, round(sum(CASE WHEN rel > 0 THEN seen / k ELSE 0 END) / greatest(sum(rel), 1), 6) AS ap FROM (SELECT *, row_number() OVER w AS k, sum(rel) OVER (PARTITION BY node ORDER BY score DESC, item ROWS UNBOUNDED PRECEDING) AS seen FROM (SELECT node, item, round(score, 6) AS score, rel FROM tr) WINDOW w AS (PARTITION BY node ORDER BY score DESC, item)) GROUP BY ALL")
+def trie_precision(spark, d):
+    """Average precision of every node of the trie."""
+    t = query_trie(spark, d).withColumn("score", F.round("score", 6))
+    return _path(trie.node_precision(t)).withColumn("ap", r("ap", 6))
+
+
+_SHARES = "sh AS (SELECT node, item, rel, score, CASE WHEN len(node) = 1 THEN 1.0 ELSE coalesce(score / nullif(sum(score) OVER (PARTITION BY node[1:len(node) - 1], item, len(node)), 0), 0) END AS share FROM tr)"
+
+
+@query(f"WITH {_TRIE}, {_SHARES} SELECT array_to_string(c.node, '/') AS node, c.item, round(CASE WHEN len(c.node) = 1 THEN c.rel ELSE c.share * p.rel END, 6) + 0.0 AS score FROM sh c LEFT JOIN sh p ON len(c.node) = 2 AND p.node = c.node[1:1] AND p.item = c.item")
+def trie_marginals(spark, d):
+    """What each node gets of the relevance at the top, handed down by its children's shares."""
+    return _path(trie.marginals(query_trie(spark, d))).select("node", "item", r("score", 6).alias("score"))
+
+
+@query(f"WITH {_TRIE} SELECT array_to_string(t.node, '/') AS node, t.item, round(t.score * coalesce(max(c.score), 1), 4) AS score FROM tr t LEFT JOIN tr c ON len(c.node) = len(t.node) + 1 AND c.node[1:len(t.node)] = t.node AND c.item = t.item GROUP BY t.node, t.item, t.score")
+def trie_max_products(spark, d):
+    """The best way down from every node, as the product of its scores."""
+    return _path(trie.max_products(query_trie(spark, d))).select("node", "item", r("score", 4).alias("score"))
+
+
+@query(f"WITH {_TRIE} SELECT array_to_string(node, '/') AS node, item, round(CASE WHEN score = max(score) OVER (PARTITION BY item) THEN score ELSE 0 END, 4) + 0.0 AS score FROM (SELECT node, item, round(score, 6) AS score FROM tr WHERE len(node) = 2)")
+def trie_best_leaves(spark, d):
+    """Every item's best leaf; others score 0."""
+    t = query_trie(spark, d).withColumn("score", F.round("score", 6))
+    return _path(trie.best_leaves(t)).select("node", "item", r("score", 4).alias("score"))
+
+
+@query(f"""WITH {_TRIE}, ch AS (SELECT node[1:1] AS up, node, item, score, rel FROM tr WHERE len(node) = 2), ri AS (SELECT up, item FROM ch GROUP BY ALL HAVING max(rel) > 0), nn AS (SELECT up, count(DISTINCT node) AS n FROM ch GROUP BY ALL),
+gr AS (SELECT k.up, k.node, ri.item, coalesce(ch.score, 0) AS score, n FROM (SELECT DISTINCT up, node FROM ch) k JOIN ri USING (up) JOIN nn USING (up) LEFT JOIN ch ON ch.node = k.node AND ch.item = ri.item), av AS (SELECT *, sum(score) OVER (PARTITION BY up, item) / n AS mean FROM gr)
+SELECT array_to_string(up, '/') AS node, round(sum(abs(score - mean)) / max(n), 4) AS dispersion FROM av GROUP BY up""")
+def trie_dispersion(spark, d):
+    """How far the children of a node lie apart on their relevant items."""
+    return _path(trie.dispersion(query_trie(spark, d))).withColumn("dispersion", r("dispersion", 4))
+
+
+# -- sections by the nearest context ----------------------------------------------------------------
+
+_NEAR = f"""{re._TRIE_BASE}, {sq.PAGE_PARS}, st AS (SELECT page_id, term, count(*)::BIGINT AS tf FROM ({sq.tok('pp', 'page_id')}) GROUP BY ALL), sdf AS (SELECT term, count(*) AS df FROM st GROUP BY ALL), sn AS (SELECT count(DISTINCT page_id) AS n FROM st),
+su AS (SELECT page_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY page_id)) AS w FROM (SELECT page_id, term, tf * ln(1 + n / df) AS w FROM st JOIN sdf USING (term), sn)),
+du AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM (SELECT p.doc_id, term, p.tf * ln(1 + sn.n / sdf.df) AS w FROM p SEMI JOIN (SELECT DISTINCT doc_id FROM pool) z USING (doc_id) JOIN sdf USING (term), sn)),
+co AS (SELECT doc_id, page_id, round(sum(du.w * su.w), 9) AS cosine FROM du JOIN su USING (term) GROUP BY ALL),
+nr AS (SELECT doc_id, page_id, cosine FROM co QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, page_id) = 1)"""
+
+
+def nearest_sections(spark, d) -> DataFrame:
+    """(doc_id, page_id, cosine): the section nearest to each pooled document."""
+    p = index.postings(src.page_paragraphs(src.table(spark, d, "pages")), key="page_id").select("page_id", "term", "tf")
+    df = written(p.groupBy("term").agg(F.count("*").alias("df")), "section-terms")
+    n = p.select("page_id").distinct().count()
+    q = re.stored_postings(spark, d)["postings"].join(_pooled_docs(spark, d), "doc_id", "left_semi").select(F.col("doc_id").alias("q"), "term", "tf")
+    found = nearest.nearest(nearest.unit_vectors(q, "q", df, n), nearest.unit_vectors(p.withColumnRenamed("page_id", "id"), "id", df, n), df)
+    return found.select(F.col("q").alias("doc_id"), F.col("id").alias("page_id"), "cosine")
+
+
+@query(f"WITH {_NEAR} SELECT doc_id, page_id, round(cosine, 6) AS cosine FROM nr")
+def nearest_context_sections(spark, d):
+    """The section whose terms are nearest to a pooled document's, by cosine."""
+    return nearest_sections(spark, d).withColumn("cosine", r("cosine", 6))
+
+
+@query(f"""WITH {_NEAR}, q2 AS (SELECT query_id, doc_id, q.term, q.boost FROM pool JOIN q USING (query_id)),
+sx AS (SELECT query_id, doc_id, sum(boost * coalesce(tf, 0)) AS x FROM q2 JOIN nr USING (doc_id) LEFT JOIN st ON st.page_id = nr.page_id AND st.term = q2.term GROUP BY ALL)
+SELECT query_id, doc_id, round(coalesce(x / nullif(sum(x) OVER (PARTITION BY doc_id), 0), 0), 6) AS score, x > 0 AS kept FROM sx""")
+def section_aware_scores(spark, d):
+    """How well each query that found a document suits the section nearest to it: the counts there of the query's terms, as shares.
+
+    A document that its nearest section gives nothing for a query is not kept for it.
+    """
+    near = nearest_sections(spark, d)
+    p = index.postings(src.page_paragraphs(src.table(spark, d, "pages")), key="page_id").select("page_id", "term", "tf")
+    asked = re._pool(spark, d).select("query_id", "doc_id").join(near, "doc_id").join(re.bench_terms(spark, d).select("query_id", "term", "boost"), "query_id")
+    x = asked.join(p, ["page_id", "term"], "left").groupBy("query_id", "doc_id").agg(F.sum(F.col("boost") * F.coalesce("tf", F.lit(0))).alias("x"))
+    return x.select("query_id", "doc_id", r(stats.by_sum(F.col("x"), "doc_id"), 6).alias("score"), (F.col("x") > 0).alias("kept"))
+
+
 # -- exports --------------------------------------------------------------------------------------
 
 
@@ -438,11 +571,20 @@ def entity_database(spark, d):
     return rows.select("name", "pages", "links", zero("docs"), zero("mentions"), "abstract")
 
 
+def context_store(spark, d) -> str:
+    """Where the terms of entities lie by lower-cased name; stored once for the tables as they are."""
+    made = index.kept_path(
+        spark, [f"{d}/pages.parquet"], "contexts",
+        lambda path: keystore.store(fl.entity_tables(spark, d)["postings"].where("field = 'unigram'").select(F.lower("doc_id").alias("key"), F.col("doc_id").alias("name"), "term", "tf"), "key", path),
+    )
+    return made
+
+
 @query(f"WITH {fl._ENTITIES} SELECT doc_id AS name, term, round(tf / sum(tf) OVER (PARTITION BY doc_id), 8) AS share FROM ep WHERE field = 'unigram' AND starts_with(lower(doc_id), 'b')")
 def context_distributions(spark, d):
     """The scan of a key prefix: the term distributions of entities whose name begins with it; the prefix is the feature."""
-    p = fl.entity_tables(spark, d)["postings"].where("field = 'unigram'").where(F.startswith(F.lower("doc_id"), F.lit("b")))
-    return p.select(F.col("doc_id").alias("name"), "term", r(stats.by_sum(F.col("tf"), "doc_id"), 8).alias("share"))
+    p = keystore.scan(spark, context_store(spark, d), "key", "b")
+    return p.select("name", "term", r(stats.by_sum(F.col("tf"), "name"), 8).alias("share"))
 
 
 @query(f"""WITH {sq.LINES}, t AS ({sq.tok('par', 'doc_id, pos')}), u AS (SELECT doc_id, pos, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL), s AS (SELECT doc_id, term, sum(tf)::BIGINT AS tf, count(*) AS holders FROM u GROUP BY ALL), ky AS (SELECT doc_id, pos, list_sort(list(term)) AS terms FROM u GROUP BY ALL), g AS (SELECT doc_id, terms, count(*) AS alike FROM ky GROUP BY ALL),

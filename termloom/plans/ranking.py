@@ -369,17 +369,83 @@ def degree_edge_hubs(spark, d):
     return graph.degree_edge_hubs(_graph(spark, d)).withColumn("score", r("score"))
 
 
-@query()
+#: Weights of 1/w, and which rounds of walks and of paths the SQL takes: more than fix-points need on the test tables.
+_GI = f"{_G}, g AS MATERIALIZED (SELECT src, dst, 1 / w AS w FROM e)"
+_WALKS, _PATHS = 150, 60
+
+
+def _walk_sql(edges: str, name: str) -> str:
+    """A walk with restarts, step by step."""
+    steps = [f"{name}t AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM {edges}), {name}v AS MATERIALIZED (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}), {name}n AS MATERIALIZED (SELECT count(*) AS n FROM {name}v), {name}0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS score FROM {name}v, {name}n)"]
+    for k in range(_WALKS):
+        steps.append(f"{name}i{k} AS MATERIALIZED (SELECT v.node, coalesce(sum(s.score * t.w), 0) AS i FROM {name}v v LEFT JOIN {name}t t ON t.dst = v.node LEFT JOIN {name}{k} s ON s.node = t.src GROUP BY v.node), {name}{k + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (i + (1 - (SELECT sum(i) FROM {name}i{k})) / n) AS score FROM {name}i{k}, {name}n)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {_GI}, {_walk_sql('g', 'f')} SELECT node, round(score, 7) AS score FROM f{_WALKS}")
 def random_walk_hubs(spark, d):
-    return graph.hub_scores(graph.reweighted(_graph(spark, d), "inverse"), rounds=5)
+    """The long-run shares of a walk over weights of 1/w."""
+    return graph.hub_scores(graph.reweighted(_graph(spark, d), "inverse")).withColumn("score", r("score", 7))
 
 
-@query()
+@query(f"WITH {_GI}, gr AS MATERIALIZED (SELECT dst AS src, src AS dst, w FROM g), {_walk_sql('g', 'f')}, {_walk_sql('gr', 'b')}, x AS (SELECT t.src, t.dst, score * w / 2 AS score FROM ft t JOIN f{_WALKS} s ON s.node = t.src UNION ALL SELECT t.dst, t.src, score * w / 2 FROM bt t JOIN b{_WALKS} s ON s.node = t.src) SELECT src, dst, round(sum(score), 8) AS score FROM x GROUP BY ALL")
+def walked_edge_hubs(spark, d):
+    """How often walks in both directions take an edge."""
+    return graph.walked_edges(graph.reweighted(_graph(spark, d), "inverse")).withColumn("score", r("score", 8))
+
+
+def _paths_sql(start: str, edges: str, name: str) -> str:
+    """Distances from a table (node, hub), an edge more a round."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT DISTINCT node, hub, 0.0::DOUBLE AS d FROM {start})"]
+    for k in range(_PATHS):
+        steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT node, hub, min(d) AS d FROM (SELECT * FROM {name}{k} UNION ALL SELECT dst, hub, d + w FROM {name}{k} JOIN {edges} ON src = node) GROUP BY node, hub)")
+    return ", ".join(steps)
+
+
+_HUBS = "hubs AS MATERIALIZED (SELECT node, node AS hub FROM (SELECT node, sum(w) AS s FROM (SELECT src AS node, w FROM e UNION ALL SELECT dst, w FROM e) GROUP BY node) ORDER BY s DESC, node LIMIT 3)"
+
+
+@query(f"WITH {_GI}, {_HUBS}, {_paths_sql('hubs', 'g', 'p')} SELECT node, hub, round(d, 6) AS distance FROM p{_PATHS} QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(d, 9), hub) = 1")
 def shortest_paths_to_hubs(spark, d):
-    """Distances of 1/w from three frequent terms within six edges, and the nearest of them."""
-    e = graph.reweighted(_graph(spark, d), "inverse")
-    hubs = spark.createDataFrame([("the",), ("of",), ("la",)], "node string")
-    return graph.voronoi(graph.shortest_paths(e, hubs, rounds=6))
+    """Distances of 1/w from the three strongest terms, and the nearest of them."""
+    g = _graph(spark, d)
+    found = graph.shortest_paths(graph.reweighted(g, "inverse"), graph.strongest(g, 3)).withColumn("distance", r("distance", 9))
+    return graph.voronoi(found).withColumn("distance", r("distance", 6))
+
+
+@query(f"WITH {_GI}, {_HUBS}, {_paths_sql('hubs', 'g', 'p')} SELECT node, hub, round(d, 6) AS distance FROM p{_PATHS} WHERE d <= 1.5")
+def nodes_within_limit(spark, d):
+    """The traversal with a limit: all nodes within a distance of 1.5 from each of the three strongest terms; the limit is the feature."""
+    g = _graph(spark, d)
+    return graph.shortest_paths(graph.reweighted(g, "inverse"), graph.strongest(g, 3), limit=1.5).withColumn("distance", r("distance", 6))
+
+
+#: The three heaviest edges, ties by their ends, as hubs.
+_EHUBS = "eh AS MATERIALIZED (SELECT src, dst, src || ' ' || dst AS hub FROM e ORDER BY w DESC, src, dst LIMIT 3), st AS MATERIALIZED (SELECT src AS node, {'hub': hub, 'at': 'a'} AS hub FROM eh UNION ALL SELECT dst, {'hub': hub, 'at': 'b'} FROM eh)"
+_EDIST = f"""{_GI}, gr AS MATERIALIZED (SELECT dst AS src, src AS dst, w FROM g), {_EHUBS}, {_paths_sql('st', 'g', 'p')}, {_paths_sql('st', 'gr', 'b')},
+ah AS (SELECT src, dst, hub.hub AS hub, max(d + w) AS ahead FROM g JOIN p{_PATHS} ON src = node GROUP BY ALL), bh AS (SELECT dst AS src, src AS dst, hub.hub AS hub, max(d + w) AS behind FROM gr JOIN b{_PATHS} ON src = node GROUP BY ALL),
+ed AS (SELECT src, dst, hub, ahead, behind, least(ahead, behind) AS distance FROM ah FULL JOIN bh USING (src, dst, hub))"""
+
+
+def _edge_distances(spark, d):
+    g = _graph(spark, d)
+    hubs = g.orderBy(F.desc("w"), "src", "dst").limit(3).select("src", "dst", F.concat_ws(" ", "src", "dst").alias("hub"))
+    return graph.edge_distances(graph.reweighted(g, "inverse"), hubs), graph.reweighted(g, "inverse")
+
+
+@query(f"WITH {_EDIST} SELECT src, dst, hub, round(ahead, 6) AS ahead, round(behind, 6) AS behind, round(distance, 6) AS distance FROM ed")
+def edge_hub_distances(spark, d):
+    """How far every edge is from the three heaviest ones, along the edges and against them."""
+    found, _ = _edge_distances(spark, d)
+    return found.select("src", "dst", "hub", *[r(c, 6).alias(c) for c in ("ahead", "behind", "distance")])
+
+
+@query(f"WITH {_EDIST}, ne AS (SELECT src, dst, arg_min(hub, {{'a': round(distance, 9), 'b': hub}}) AS hub, min(distance) AS distance FROM ed GROUP BY ALL) SELECT hub, count(*)::BIGINT AS edges, round(sum(distance) / (SELECT sum(w) FROM g), 6) AS total FROM ne GROUP BY ALL")
+def edge_hub_totals(spark, d):
+    """The edges nearest to each hub edge and the sum of their distances over the weight of the graph."""
+    found, g = _edge_distances(spark, d)
+    near = graph.nearest_edge_hubs(found.withColumn("distance", r("distance", 9)))
+    return graph.hub_totals(near, g).withColumn("total", r("total", 6))
 
 
 # -- vectors, JSON, relational helpers --------------------------------------------------
@@ -416,10 +482,11 @@ def vector_divergences(spark, d):
     return v.select("vec_id", r(vectors.kl(F.col("p"), F.col("q"))).alias("kl"), r(vectors.symmetric_kl(F.col("p"), F.col("q"))).alias("symmetric"))
 
 
-@query("SELECT label, count(*)::BIGINT AS n, round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS mean_first FROM embeddings GROUP BY label")
+@query("SELECT label, i - 1 AS component, count(*)::BIGINT AS n, round(avg(embedding[i]::DOUBLE), 6) + 0.0 AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1))::INT AS i FROM embeddings) GROUP BY ALL")
 def vectors_by_label(spark, d):
-    e = src.table(spark, d, "embeddings")
-    return e.groupBy("label").agg(F.count("*").alias("n"), r(F.avg(F.get("embedding", F.lit(0)).cast("double")), 6).alias("mean_first"))
+    """The mean vector of each label, by component."""
+    e = src.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("component", "x"))
+    return e.groupBy("label", "component").agg(F.count("*").alias("n"), r(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, round(sum(value), 2) AS total FROM events GROUP BY event_type")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.operators import candidates as cand
-from termloom.operators import hierarchy, index
+from termloom.operators import hierarchy, index, linking
 from termloom.operators import search as se
 from termloom.plans import sqltext as sq
 from termloom.sources import tables as src
@@ -236,6 +236,46 @@ def path_parents(spark, d):
     return hierarchy.parents(_paths(spark, d))
 
 
+@query("WITH s AS (SELECT source, lang, doc_id::VARCHAR AS i FROM documents), n AS (SELECT DISTINCT [source] AS p FROM s UNION SELECT DISTINCT [source, lang] FROM s UNION SELECT [source, lang, i] FROM s) SELECT array_to_string(p, '/') AS node, len(p)::INT AS depth, (SELECT count(*) FROM n b WHERE b.p < a.p)::BIGINT AS pre, ((SELECT count(*) FROM n b WHERE b.p < a.p) + (SELECT count(*) FROM n b WHERE b.p[1:len(a.p)] = a.p) - len(a.p))::BIGINT AS post FROM n a")
+def tree_orders(spark, d):
+    """Numbers of nodes by walks before and after those below them, over the trees of documents' paths."""
+    return hierarchy.orders(_paths(spark, d))
+
+
+#: Pages cut before their headings, and the open headings of each by a fold of the stack.
+_OUTLINE = f"""oc AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[\\s/>].*?</script\\s*>', '', 'g'), '(?is)<style[\\s/>].*?</style\\s*>', '', 'g') AS html FROM pages),
+op AS (SELECT page_id, unnest(range(len(l))) + 1 AS pos, unnest(l) AS html FROM (SELECT page_id, string_split(regexp_replace(html, '(?i)<h[1-6][\\s/>]', chr(3) || '\\0', 'g'), chr(3)) AS l FROM oc)),
+ol AS (SELECT page_id, pos::INT AS pos, html, CASE WHEN regexp_matches(html, '(?i)^<h[1-6][\\s/>]') THEN substr(html, 3, 1)::INT ELSE 0 END AS level, trim(regexp_replace(regexp_replace(regexp_replace(split_part(regexp_replace(html, '(?i)</h[1-6]', chr(4), 'g'), chr(4), 1), '(?is)^<h[1-6]{sq._REST}', ''), '</?[a-zA-Z](?:{sq._ANY})', '', 'g'), '\\s+', ' ', 'g')) AS heading FROM op WHERE html <> ''),
+hd AS (SELECT page_id, pos, level, heading FROM ol WHERE level > 0),
+up AS (SELECT a.page_id, a.pos, b.pos AS over, b.heading FROM hd a JOIN hd b ON a.page_id = b.page_id AND b.pos <= a.pos AND (b.pos = a.pos OR b.level < a.level) AND NOT EXISTS (SELECT 1 FROM hd c WHERE c.page_id = a.page_id AND c.pos > b.pos AND c.pos <= a.pos AND c.level <= b.level)),
+tree AS (SELECT page_id, pos, list(heading ORDER BY over) AS path, list(over ORDER BY over) AS places FROM up GROUP BY ALL),
+sz AS (SELECT page_id, over AS pos, count(*) AS size FROM up GROUP BY ALL)"""
+
+
+@query(f"WITH {_OUTLINE} SELECT hd.page_id, hd.pos, hd.level, array_to_string(path, '/') AS path, places[-2]::INT AS parent, len(path)::INT AS depth, (row_number() OVER w - 1)::INT AS pre, (row_number() OVER w - 1 + size - len(path))::INT AS post FROM hd JOIN tree USING (page_id, pos) JOIN sz USING (page_id, pos) WINDOW w AS (PARTITION BY hd.page_id ORDER BY hd.pos)")
+def heading_paths(spark, d):
+    """Every heading of a page below those that are open there, with its numbers in walks of the page's tree."""
+    h = src.outline(src.table(spark, d, "pages")).where("level > 0").drop("html")
+    out = hierarchy.open_headings(h)
+    return out.select("page_id", "pos", "level", F.array_join("path", "/").alias("path"), "parent", "depth", "pre", "post")
+
+
+@query(f"""WITH {_OUTLINE}, sec AS (SELECT ol.page_id, ol.pos, heading, coalesce(array_to_string(path, '/'), '') AS path, html FROM ol LEFT JOIN tree USING (page_id, pos)),
+blocked AS (SELECT DISTINCT up.page_id, up.pos FROM up WHERE lower(trim(heading)) IN ({', '.join(f"'{x}'" for x in tx.SECTION_BLACKLIST)})),
+{sq.PAGE_PARS.replace('FROM pages', "FROM (SELECT page_id || '#' || pos AS page_id, html FROM sec)")},
+good AS (SELECT split_part(page_id, '#', 1)::BIGINT AS page_id, split_part(page_id, '#', 2)::INT AS pos, text FROM pp WHERE length(text) > 100 AND NOT contains(text, ':') AND NOT contains(text, '•'))
+SELECT page_id, pos, path, count(*)::BIGINT AS paragraphs, sum(length(text))::BIGINT AS n FROM good JOIN sec USING (page_id, pos) ANTI JOIN blocked USING (page_id, pos) GROUP BY ALL""")
+def section_fold(spark, d):
+    """Sections by heading path with the paragraphs of quality that they hold; those without any, or below listed headings, go."""
+    parts = src.outline(src.table(spark, d, "pages"))
+    tree = hierarchy.open_headings(parts.where("level > 0").drop("html")).select("page_id", "pos", "path")
+    rows = parts.join(tree, ["page_id", "pos"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+    rows = rows.where(~F.exists("path", lambda h: ~tx.is_listed_section(h)))
+    par = src.page_paragraphs(rows.select(F.struct("page_id", "pos", "path").alias("page_id"), "html")).where(tx.is_good_paragraph("text"))
+    by = par.groupBy(F.col("page_id.page_id").alias("page_id"), F.col("page_id.pos").alias("pos"), F.array_join("page_id.path", "/").alias("path"))
+    return by.agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("n"))
+
+
 @query(f"WITH {sq.LINKS} SELECT page_id, name FROM links GROUP BY ALL")
 def outlinks(spark, d):
     return src.links(src.table(spark, d, "pages")).distinct()
@@ -271,11 +311,67 @@ def joint_unigrams(spark, d):
     return index.joint_postings(p, "doc_id", "pos").select("doc_id", "pos", "term", big("tf"))
 
 
-def _mentions(spark, d):
-    return cand.dictionary_links(docs(spark, d), src.links(src.table(spark, d, "pages")).select("name").distinct())
+def names(spark, d) -> DataFrame:
+    """The dictionary of the names that pages link."""
+    return linking.phrases(src.links(src.table(spark, d, "pages")).select("name"))
+
 
+def mention_spans(spark, d) -> DataFrame:
+    """Where documents mention names; stored, since many queries ask for it."""
+    at = [f"{d}/documents.parquet", f"{d}/pages.parquet"]
+    return index.kept(spark, at, "mentions", lambda: linking.spans(docs(spark, d), names(spark, d)))
 
-_MENTIONS = f"{sq.LINKS}, names AS (SELECT DISTINCT name, lower(name) AS term FROM links), m AS (SELECT doc_id, name, tf AS n FROM p JOIN names USING (term))"
+
+def _mentions(spark, d):
+    return linking.mentions(mention_spans(spark, d), names(spark, d))
+
+
+#: Phrases of names in texts: every window that is one, the longest of each place, and of chains that overlap those met from the left.
+SPAN_PARTS = f"""names AS (SELECT DISTINCT name, regexp_extract_all(lower(replace(name, '_', ' ')), '{sq.TOKEN}') AS t FROM links),
+phrases AS (SELECT DISTINCT t, len(t) AS k, array_to_string(t, ' ') AS phrase FROM names WHERE len(t) > 0),
+pw AS (SELECT phrase, k, unnest(t) AS word, unnest(range(k)) AS j FROM phrases),
+tp AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM documents)),
+begun AS (SELECT doc_id, i, phrase, k FROM tp JOIN pw ON j = 0 AND word = term),
+met AS (SELECT * FROM begun WHERE k = 1 UNION ALL SELECT b.doc_id, b.i, b.phrase, b.k FROM begun b JOIN pw USING (phrase) JOIN tp ON tp.doc_id = b.doc_id AND tp.i = b.i + j AND term = word WHERE b.k > 1 GROUP BY ALL HAVING count(*) = b.k),
+longest AS (SELECT doc_id, i, max(k) AS k, max_by(phrase, k) AS phrase FROM met GROUP BY ALL),
+chain AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT *, CASE WHEN max(i + k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > i THEN 0 ELSE 1 END AS fresh FROM longest)),
+walked AS (SELECT doc_id, list_reduce(list({{'stop': i + k, 'places': [i]}} ORDER BY i), lambda s, x: CASE WHEN x.places[1] >= s.stop THEN {{'stop': x.stop, 'places': list_concat(s.places, x.places)}} ELSE s END).places AS places FROM chain GROUP BY doc_id, c),
+spans AS (SELECT doc_id, i AS pos, k, phrase FROM longest SEMI JOIN (SELECT doc_id, unnest(places) AS i FROM walked) w USING (doc_id, i))"""
+
+_SPANS = f"{sq.LINKS}, {SPAN_PARTS}"
+#: Mentions by document and name, where links are known.
+LINKED_MENTIONS = f"{SPAN_PARTS}, m AS (SELECT doc_id, name, count(*)::BIGINT AS n FROM spans JOIN names ON array_to_string(t, ' ') = phrase GROUP BY ALL)"
+_MENTIONS = f"{sq.LINKS}, {LINKED_MENTIONS}"
+
+#: The share of a phrase's occurrences that link to the name that is linked most.
+_RHO = """lk AS (SELECT name, count(*) AS linked FROM links GROUP BY ALL), oc AS (SELECT phrase, count(*) AS occurs FROM spans GROUP BY ALL),
+best AS (SELECT array_to_string(t, ' ') AS phrase, sum(linked) AS every, max(linked) AS most, arg_min(name, {'a': -linked, 'b': name}) AS name FROM names JOIN lk USING (name) GROUP BY ALL),
+rho AS (SELECT phrase, name, most / (every + occurs) AS rho FROM best JOIN oc USING (phrase))"""
+
+
+@query(f"WITH {_SPANS}, {_RHO} SELECT doc_id, pos::INT AS pos, k::INT AS k, name, round(rho, 8) AS rho FROM spans JOIN rho USING (phrase) WHERE rho > {linking.RHO}")
+def annotated_mentions(spark, d):
+    """Mentions of one name each, where the phrase means it surely enough."""
+    links = src.links(src.table(spark, d, "pages")).select("name")
+    out = linking.annotations(mention_spans(spark, d), names(spark, d), links)
+    return out.withColumn("rho", F.round("rho", 8))
+
+
+@query(f"""WITH {_SPANS}, marked AS (SELECT spans.*, name FROM spans JOIN names ON array_to_string(t, ' ') = phrase),
+ball AS (SELECT name, term, marked.doc_id, marked.pos FROM marked JOIN tp ON tp.doc_id = marked.doc_id AND tp.i BETWEEN pos - 4 AND pos + k + 3)
+SELECT name, term, count(*)::BIGINT AS tf, count(DISTINCT (doc_id, pos))::BIGINT AS mentions FROM ball GROUP BY ALL""")
+def mention_balls(spark, d):
+    """The proximity index: by name, the terms within four tokens of its mentions.
+
+    Mentions are spans of characters, as annotators give them; they meet the tokens they touch.
+    """
+    t = index.kept(spark, [f"{d}/documents.parquet"], "offsets", lambda: linking.token_offsets(docs(spark, d)))
+    found = mention_spans(spark, d).join(names(spark, d).select("name", "phrase"), "phrase")
+    ends = found.select("doc_id", "name", F.explode(F.array(F.struct("pos", F.lit(0).alias("last"), F.col("pos").alias("id")), F.struct((F.col("pos") + F.col("k") - 1).alias("pos"), F.lit(1).alias("last"), F.col("pos").alias("id")))).alias("e"))
+    places = ends.select("doc_id", "name", "e.*").join(t, ["doc_id", "pos"]).groupBy("doc_id", "name", "id").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    rows = linking.balls(t, linking.covered(t, places)).select("name", "doc_id", "begin", F.explode("terms").alias("term"))
+    one = rows.groupBy("name", "term", "doc_id", "begin").agg(F.count("*").alias("n"))
+    return one.groupBy("name", "term").agg(F.sum("n").alias("tf"), F.count("*").alias("mentions"))
 
 
 @query(f"WITH {sq.BASE}, {_MENTIONS} SELECT doc_id, name, n FROM m")
@@ -364,40 +460,34 @@ def tfidf_variant_top10(spark, d):
     return doc_index(spark, d).search(bench_terms(spark, d), 10, "tfidf", digits=4)
 
 
-#: An item's five rarest terms, ties by term.
-_FIRST = "first AS (SELECT query_id, term, boost FROM (SELECT q.*, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS k FROM q JOIN ts USING (term)) WHERE k <= 5)"
+#: Documents that have all terms of an item.
+_ALL = "hold AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(*) AS met FROM q JOIN p USING (term) GROUP BY ALL) JOIN (SELECT query_id, count(*) AS need FROM q GROUP BY ALL) USING (query_id) WHERE met = need)"
 
 
-def _first_terms(spark, d, boost: float = 1.0, occur: str = "should"):
-    """The five terms of an item that fewest documents have."""
-    q = bench_terms(spark, d, boost=boost, occur=occur)
-    w = se.Window.partitionBy("query_id").orderBy("df", "term")
-    rare = q.join(doc_index(spark, d).terms, "term").withColumn("k", F.row_number().over(w)).where("k <= 5")
-    return rare.select(*q.columns)
-
-
-@query(f"WITH {sq.BASE}, {_FIRST}, s AS ({sq.scored(q='first')}), need AS (SELECT query_id, count(*) AS need FROM first GROUP BY ALL) {sq.top('SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, sum(score) AS score, count(*) AS met FROM s GROUP BY ALL) JOIN need USING (query_id) WHERE met = need', 10)}")
+@query(f"WITH {sq.BASE}, {_ALL}, s AS ({sq.scored()}) {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM s SEMI JOIN hold USING (query_id, doc_id) GROUP BY ALL', 10)}")
 def term_required_match(spark, d):
-    return doc_index(spark, d).search(_first_terms(spark, d, occur="must"), 10, digits=4)
+    """All terms of an item are required, and score."""
+    ix, q = doc_index(spark, d), bench_terms(spark, d)
+    return ix.search(q, 10, digits=4, among=ix.holding(q))
 
 
-@query(f"WITH {sq.BASE}, {_FIRST}, mix AS (SELECT query_id, term, sum(boost) AS boost FROM (SELECT query_id, term, boost * 2.5 AS boost FROM first UNION ALL SELECT * FROM q) GROUP BY ALL) {sq.top(_sum(sq.scored(q='mix')), 10)}")
+@query(f"WITH {sq.BASE}, mix AS (SELECT query_id, term, boost + 2.5 AS boost FROM q) {sq.top(_sum(sq.scored(q='mix')), 10)}")
 def boosted_or_query(spark, d):
-    q = _first_terms(spark, d, boost=2.5).unionByName(bench_terms(spark, d))
-    q = q.groupBy("query_id", "clause", "term", "occur").agg(F.sum("boost").alias("boost"))
-    return doc_index(spark, d).search(q, 10, digits=4)
+    """Any term counts: once by its occurrences in the item, and once boosted."""
+    q = bench_terms(spark, d)
+    return doc_index(spark, d).search(q.withColumn("boost", F.col("boost") + 2.5), 10, digits=4)
 
 
-_NEST = f"""c AS (SELECT query_id, 1 AS clause, term, boost * 0.2556 AS boost, 1 AS must FROM first UNION ALL SELECT query_id, 0, term, boost * 0.7444, 0 FROM q),
-s AS ({sq.scored(q='c')}), need AS (SELECT query_id, clause, sum(must) AS need FROM c GROUP BY ALL),
-b AS (SELECT query_id, clause, doc_id, sum(score) AS score, sum(must) AS met FROM s GROUP BY ALL)"""
-
-
-@query(f"WITH {sq.BASE}, {_FIRST}, {_NEST} {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM b JOIN need USING (query_id, clause) WHERE met = need GROUP BY ALL', 10)}")
+@query(f"WITH {sq.BASE}, {_ALL}, s AS ({sq.scored()}), b AS (SELECT query_id, doc_id, sum(score) AS score FROM s GROUP BY ALL) {sq.top('SELECT query_id, doc_id, 0.7444 * score + CASE WHEN (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM hold) THEN 0.2556 * score ELSE 0 END AS score FROM b', 10)}")
 def nested_combo_query(spark, d):
-    """0.2556 times all five rarest terms required plus 0.7444 times any term."""
-    q = _first_terms(spark, d, boost=0.2556, occur="must").withColumn("clause", F.lit(1)).unionByName(bench_terms(spark, d, boost=0.7444))
-    return se.top_k(se.nested(doc_index(spark, d).term_scores(q), q), 10, 4)
+    """0.2556 times all terms required plus 0.7444 times any term."""
+    ix, q = doc_index(spark, d), bench_terms(spark, d)
+    clauses = q.select("query_id", "term", F.explode(F.array(F.struct(F.lit(0).alias("clause"), F.lit(0.7444).alias("w")), F.struct(F.lit(1).alias("clause"), F.lit(0.2556).alias("w")))).alias("c"), "boost")
+    q2 = clauses.select("query_id", "c.clause", "term", (F.col("boost") * F.col("c.w")).alias("boost"), F.lit("should").alias("occur"))
+    held = ix.holding(q).withColumn("clause", F.lit(1)).withColumn("held", F.lit(True))
+    by_clause = ix.term_scores(q2).groupBy("query_id", "clause", "doc_id").agg(F.sum("score").alias("score"))
+    good = by_clause.join(held, ["query_id", "clause", "doc_id"], "left").where("clause = 0 or held")
+    return se.top_k(good.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), 10, 4)
 
 
 _SENT = "sent AS (SELECT item_id AS query_id, k AS clause, term, count(*)::DOUBLE AS boost FROM (SELECT item_id, k, unnest(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+')) AS term FROM (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS s FROM (SELECT item_id, string_split(text, '.') AS l FROM benchmark))) GROUP BY ALL)"
@@ -415,11 +505,17 @@ def disjunction_max_query(spark, d):
     return se.top_k(se.disjunction_max(doc_index(spark, d).term_scores(_sentence_terms(spark, d))), 10, 4)
 
 
-@query(f"WITH {sq.BASE}, {_FIRST}, {_SENT}, s AS ({sq.scored()}), f AS (SELECT query_id, doc_id, count(*) AS met FROM first JOIN p USING (term) GROUP BY ALL), need AS (SELECT query_id, count(*) AS need FROM first GROUP BY ALL) {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM s SEMI JOIN (SELECT query_id, doc_id FROM f JOIN need USING (query_id) WHERE met = need) g USING (query_id, doc_id) GROUP BY ALL', 10)}")
+#: Terms of an item's last sentence that has any.
+_LAST = "last AS (SELECT query_id, term FROM sent SEMI JOIN (SELECT query_id, max(clause) AS clause FROM sent GROUP BY ALL) z USING (query_id, clause))"
+
+
+@query(f"WITH {sq.BASE}, {_SENT}, {_LAST}, s AS ({sq.scored()}), f AS (SELECT query_id, doc_id, count(*) AS met FROM last JOIN p USING (term) GROUP BY ALL), need AS (SELECT query_id, count(*) AS need FROM last GROUP BY ALL) {sq.top('SELECT query_id, doc_id, sum(score) AS score FROM s SEMI JOIN (SELECT query_id, doc_id FROM f JOIN need USING (query_id) WHERE met = need) g USING (query_id, doc_id) GROUP BY ALL', 10)}")
 def filtered_query(spark, d):
-    """Any term scores; the five rarest must be there, unscored."""
-    must = _first_terms(spark, d, occur="filter")
-    return doc_index(spark, d).search(bench_terms(spark, d).unionByName(must), 10, digits=4)
+    """Any term scores; all terms of the last sentence must be there, unscored."""
+    ix = doc_index(spark, d)
+    last = Window.partitionBy("query_id")
+    must = _sentence_terms(spark, d).withColumn("_l", F.max("clause").over(last)).where("clause = _l").drop("_l")
+    return ix.search(bench_terms(spark, d), 10, digits=4, among=ix.holding(must))
 
 
 @query(f"WITH {sq.BASE}, s AS ({_sum(sq.scored())}), c AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM q), labels) SELECT c.query_id, c.doc_id, round(coalesce(score, 0), 4) + 0.0 AS score FROM c LEFT JOIN s USING (query_id, doc_id)")
@@ -492,11 +588,9 @@ _QRELS = "rels AS (SELECT item_id AS query_id, doc_id, 1 AS rel FROM documents J
 def _qrels(spark, d):
     """Documents that hold an item's whole text: found by terms first, so no pair without one meets.
 
-    All of an item's terms must be in the document, which search finds; the text itself is then compared.
+    All of an item's terms must be in the document, the rarest first; the text itself is then compared.
     """
-    ix = doc_index(spark, d)
-    q = bench_terms(spark, d, occur="must")
-    found = ix.search(q, None).select("query_id", "doc_id")
+    found = doc_index(spark, d).holding(bench_terms(spark, d))
     texts = docs(spark, d).withColumnRenamed("text", "whole")
     return found.join(bench(spark, d), "query_id").join(texts, "doc_id").where(F.contains("whole", "text")).select("query_id", "doc_id", F.lit(1).alias("rel"))
 
@@ -518,3 +612,7 @@ def click_qrels(spark, d):
     """Links stand for clicks: relevance is the clicks to the entities that a document mentions."""
     clicks = src.links(src.table(spark, d, "pages")).groupBy(F.col("page_id").alias("source"), F.col("name").alias("target")).agg(F.count("*").alias("n"))
     return cand.click_qrels(clicks, _mentions(spark, d)).select("source", "doc_id", big("rel"))
+
+
+#: What the pool of an item's sentences and its relevance need.
+_TRIE_BASE = f"{sq.BASE}, {_SENT}, {_POOL}, {_QRELS}"

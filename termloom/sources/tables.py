@@ -50,6 +50,21 @@ def headings(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(found).alias("pos", "heading"))
 
 
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)(?=[\s/>]).*?</\1\s*>"
+_HEAD = rf"(?is)^<h([1-6])(?=[\s/>]){_REST}(.*?)(?=</h[1-6]|\z)"
+
+
+def outline(pages: DataFrame) -> DataFrame:
+    """page_id, pos, level, heading, html: pages cut before each heading; pos 0 is what stands before the first, of level 0."""
+    parts = F.split(F.regexp_replace("html", _HIDDEN, ""), r"(?i)(?=<h[1-6][\s/>])")
+    rows = pages.select("page_id", F.posexplode(F.concat(F.array(F.lit("")), parts)).alias("_k", "html"))
+    # a page that begins with a heading has nothing before it
+    begins = F.regexp_extract("html", _HEAD, 1)
+    level = F.when(begins != "", begins.cast("int")).otherwise(0)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", _HEAD, 2), rf"</?[a-zA-Z]{_REST}", ""), r"\s+", " "))
+    return rows.where("html != ''").select("page_id", F.col("_k").alias("pos"), level.alias("level"), plain.alias("heading"), "html")
+
+
 def every_third(df: DataFrame, key: str, k: int = 3) -> DataFrame:
     """The sampling scan: rows whose number is divisible by k."""
     return df.where(F.pmod(F.col(key), F.lit(k)) == 0)
