@@ -42,31 +42,30 @@ def transitions(edges: DataFrame) -> DataFrame:
 STEPS = 10
 
 
-def hub_scores(edges: DataFrame, tolerance: float = 1e-9, rounds: int = 400, stay: float = 0.15) -> DataFrame:
+def hub_scores(edges: DataFrame, rounds: int = 400, tolerance: float = 1e-9, stay: float = 0.15) -> DataFrame:
     """(node, score): the long-run share of a random walk that restarts anywhere.
 
     Power iteration until a step moves less than tolerance in all; raises where
-    that isn't reached in so many rounds. What ends at nodes without a way on
-    restarts as well.
+    that isn't reached in so many rounds. What ends at nodes without a way on restarts
+    as well, which only scales the scores of a walk that loses it, so they are scaled
+    once, at the end.
     """
     p = written(transitions(edges), "transitions")
     nodes = written(p.select(F.col("src").alias("node")).union(p.select("dst")).distinct(), "nodes")
-    n = nodes.count()
-    score = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
+    n = max(nodes.count(), 1)
+    score = nodes.select("node", F.lit(1.0 / n).alias("score"))
     for _ in range(0, rounds, STEPS):
-        before = score
-        for _ in range(STEPS):
-            before = score
-            sent = score.join(p, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("in"))
-            moved = nodes.join(sent, "node", "left").select("node", F.coalesce("in", F.lit(0.0)).alias("in"))
-            # one row: what is lost at the ends of ways
-            lost = moved.agg((F.lit(1.0) - F.coalesce(F.sum("in"), F.lit(0.0))).alias("lost"))
-            score = moved.crossJoin(F.broadcast(lost)).select("node", (stay / max(n, 1) + (1 - stay) * (F.col("in") + F.col("lost") / max(n, 1))).alias("score"))
-        both = score.join(before.withColumnRenamed("score", "before"), "node")
-        score = written(both, "hubs")
-        if (score.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) < tolerance:
-            return score.select("node", "score")
+        for k in range(STEPS):
+            sent = score.join(p, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("score") * F.col("w") * (1 - stay)).alias("in"), F.lit(0.0).alias("before"))
+            # the last step of a plan keeps what was there before it
+            kept = score if k == STEPS - 1 else nodes.withColumn("score", F.lit(0.0))
+            ways = kept.select("node", F.lit(stay / n).alias("in"), F.col("score").alias("before")).unionByName(sent)
+            score = ways.groupBy("node").agg(F.sum("in").alias("score"), F.sum("before").alias("before"))
+        score = written(score, "hubs")
+        moved, whole = score.agg(F.sum(F.abs(F.col("score") - F.col("before"))), F.sum("score")).first()
         score = score.select("node", "score")
+        if (moved or 0.0) < tolerance:
+            return score.select("node", (F.col("score") / (whole or 1.0)).alias("score"))
     raise RuntimeError(f"the walk still moves after {rounds} rounds")
 
 
@@ -108,11 +107,13 @@ def disjoint_edges(scored: DataFrame, most: int = 200) -> list[tuple]:
 def shortest_paths(edges: DataFrame, hubs: DataFrame, limit: float | None = None, rounds: int = 10_000) -> DataFrame:
     """(node, hub, distance) of every node that a hub reaches, within a distance if there is a limit.
 
-    hubs has (node, hub): a hub may begin at several nodes. Distances fall until none
+    hubs has (node, hub): a hub may begin at several nodes; without hub each node is one. Distances fall until none
     does any more; a round goes one edge on from those that fell and is stored once.
     Raises if so many rounds don't suffice; as weights aren't negative, that takes a
     path of more edges.
     """
+    if "hub" not in hubs.columns:
+        hubs = hubs.withColumn("hub", F.col("node"))
     best = written(hubs.select("node", "hub", F.lit(0.0).alias("distance"), F.lit(True).alias("fell")).distinct(), "paths")
     for _ in range(rounds):
         front = best.where("fell").join(edges, F.col("node") == F.col("src"))
