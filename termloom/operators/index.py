@@ -39,6 +39,24 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: t
     return out.groupBy("field", key, "term").agg(F.count("*").alias("tf"))
 
 
+def gram_counts(docs: DataFrame, field: str, text: str = "text") -> DataFrame:
+    """(term, n) of one gram field over all texts: counted before the shuffle, which has a row a term and task."""
+    t = docs.select(F.explode(F.array(tx.tokens(text))).alias("_t")).select(F.explode(GRAMS[field](F.col("_t"))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, ttf) straight from texts.
+
+    A text's distinct tokens count for df and all of them for ttf, so one aggregate by
+    term, combined before its shuffle, gives both; occurrences are never grouped by text.
+    """
+    t = docs.select(F.explode(F.array(tx.tokens(text))).alias("_t"))
+    one = lambda df, ttf: lambda x: F.struct(x.alias("term"), F.lit(df).alias("df"), F.lit(ttf).alias("ttf"))
+    rows = F.concat(F.transform("_t", one(0, 1)), F.transform(F.array_distinct("_t"), one(1, 0)))
+    return t.select(F.explode(rows).alias("r")).groupBy("r.term").agg(F.sum("r.df").alias("df"), F.sum("r.ttf").alias("ttf"))
+
+
 def _stamp(spark: SparkSession, path: str) -> tuple:
     """What tells whether the files of a table are those that an index was made of."""
     context = spark.sparkContext

@@ -66,7 +66,7 @@ def token_counts(spark, d):
 @query(f"WITH {sq.BASE} SELECT term, df, ttf FROM ts")
 def vocabulary(spark, d):
     """The statistics of all terms straight from the texts; searches take those of the stored index."""
-    return index.term_stats(doc_postings(spark, d)).select("term", big("df"), big("ttf"))
+    return index.vocabulary(docs(spark, d)).select("term", big("df"), big("ttf"))
 
 
 @query(f"WITH {sq.BASE} SELECT doc_id, dl FROM dl")
@@ -117,8 +117,7 @@ def _ngrams_sql(n: int) -> str:
 
 
 def _grams(spark, d, field):
-    p = index.postings(docs(spark, d), fields=(field,))
-    return p.groupBy(F.col("term").alias("gram")).agg(F.sum("tf").alias("n"))
+    return index.gram_counts(docs(spark, d), field).withColumnRenamed("term", "gram")
 
 
 @query(_ngrams_sql(2))
