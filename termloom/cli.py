@@ -1,4 +1,4 @@
-"""Command line: python -m termloom.cli query NAME --data DIR [--out DIR], index, run, qrels, train, list."""
+"""Command line: python -m termloom.cli query NAME --data DIR [--out DIR], index, append, run, qrels, train, list."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from termloom.operators import index, learn
+from termloom.operators import diskindex, index, learn
 from termloom.operators import search as se
 from termloom.plans import catalog, ranking, retrieval
 from termloom.sources import sinks
@@ -21,7 +21,8 @@ def main(args: list[str] | None = None) -> None:
         ("list", "names of all queries"),
         ("query", "run a query"),
         ("index", "write the postings of documents"),
-        ("run", "search benchmark items and write a run file"),
+        ("append", "add documents to an index that is there"),
+        ("run", "search benchmark items, in an index if one is given, and write a run file"),
         ("qrels", "write relevance files of benchmark items"),
         ("train", "learn feature weights"),
     ):
@@ -31,9 +32,10 @@ def main(args: list[str] | None = None) -> None:
             p.add_argument("--out")
         if name == "query":
             p.add_argument("name")
-        if name in ("run", "index"):
+        if name in ("run", "index", "append"):
             p.add_argument("--fields", nargs="*", default=["unigram"])
         if name == "run":
+            p.add_argument("--index")
             p.add_argument("--similarity", default="bm25", choices=("bm25", "dirichlet", "tfidf"))
             p.add_argument("-k", type=int, default=100)
         if name == "train":
@@ -46,11 +48,15 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "query":
         out = catalog.QUERIES[a.name](spark, a.data)
         out.write.mode("overwrite").parquet(a.out) if a.out else out.show(truncate=False)
-    elif a.command == "index":
-        sinks.index_table(index.postings(retrieval.docs(spark, a.data), fields=tuple(a.fields)), a.out)
+    elif a.command in ("index", "append"):
+        write = diskindex.create if a.command == "index" else diskindex.append
+        write(index.postings(retrieval.docs(spark, a.data), fields=tuple(a.fields)), a.out)
     elif a.command == "run":
-        p = index.postings(retrieval.docs(spark, a.data), fields=(a.fields[0],))
-        found = se.Index(p, a.fields[0]).search(retrieval.bench_terms(spark, a.data), a.k, a.similarity)
+        if a.index:
+            ix = se.Index.stored(diskindex.open_index(spark, a.index), a.fields[0])
+        else:
+            ix = se.Index(index.postings(retrieval.docs(spark, a.data), fields=(a.fields[0],)), a.fields[0])
+        found = ix.search(retrieval.bench_terms(spark, a.data), a.k, a.similarity)
         named = found.select(F.col("query_id").cast("string").alias("query"), F.col("doc_id").cast("string").alias("name"), "score")
         sinks.write_lines(sinks.run_lines(sinks.run_rows(named, tag="Paragraph")), a.out)
     elif a.command == "qrels":

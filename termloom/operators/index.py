@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
+from termloom.operators import diskindex
 from termloom.session import scratch_path, written
 
 #: How each gram field is made of a text's tokens.
@@ -92,25 +93,15 @@ def kept_path(spark: SparkSession, sources: list[str], name: str, make: Callable
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], key: str = "doc_id") -> dict[str, DataFrame]:
     """The index that make() gives for a source table, written once and read by every query after.
 
-    postings (field, term, key, tf, dl) lie dealt and sorted by term within a folder a
-    field, so a search reads the fields and, by their row groups' bounds, the terms it
-    asks for; terms (field, term, df, ttf) and lengths (field, key, dl) lie beside them.
-    Changed source files make a new index.
+    postings (field, term, key, tf, dl) lie in ranges of term and key, so a search reads
+    the fields and, by their row groups' bounds, the terms it asks for, and a term of
+    many documents has many files; terms (field, term, df, ttf) and lengths (field, key,
+    dl) lie beside them. Changed source files make a new index.
     """
     known = spark.sparkContext.__dict__.setdefault("_termloom_indexes", {})
     at = (name, _stamp(spark, source))
     if at not in known:
-        p = make()
-        of = Window.partitionBy("field", key)
-        rows = p.select("field", key, "term", "tf").withColumn("dl", F.sum("tf").over(of))
-        rows = written(rows.repartition("field", "term").sortWithinPartitions("field", "term"), f"{name}-postings", partition_by=("field",))
-        terms = rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        lengths = rows.groupBy("field", key).agg(F.max("dl").alias("dl"), F.count("*").alias("distinct_terms"))
-        known[at] = {
-            "postings": rows,
-            "terms": written(terms, f"{name}-terms"),
-            "lengths": written(lengths, f"{name}-lengths"),
-        }
+        known[at] = diskindex.create(make(), scratch_path(spark, name), key)
     return known[at]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.operators import candidates as cand
-from termloom.operators import hierarchy, index, linking
+from termloom.operators import diskindex, hierarchy, index, linking
 from termloom.operators import search as se
 from termloom.plans import sqltext as sq
 from termloom.sources import tables as src
@@ -449,6 +449,22 @@ def bm25_top10(spark, d):
     return doc_index(spark, d).search(bench_terms(spark, d), 10, digits=4)
 
 
+@query(f"WITH {sq.BASE} {sq.top(_sum(sq.scored()), 10)}")
+def opened_index(spark, d):
+    """BM25 top 10 from an index of two runs that is opened by its path.
+
+    Documents of even and odd number are added one after the other, as two sessions would.
+    """
+    path = index.kept_path(spark, [f"{d}/documents.parquet"], "runs", lambda at: _two_runs(spark, d, at))
+    return se.Index.stored(diskindex.open_index(spark, path)).search(bench_terms(spark, d), 10, digits=4)
+
+
+def _two_runs(spark, d, path: str) -> None:
+    p = doc_postings(spark, d)
+    diskindex.create(p.where("doc_id % 2 = 0"), path)
+    diskindex.append(p.where("doc_id % 2 <> 0 or doc_id is null"), path)
+
+
 @query(f"WITH {sq.BASE} {sq.top(_sum(sq.scored(sq.DIRICHLET)), 10)}")
 def dirichlet_top10(spark, d):
     return doc_index(spark, d).search(bench_terms(spark, d), 10, "dirichlet", digits=4)
