@@ -45,7 +45,7 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
     return json.loads(spark.read.text(f"{path}/manifest-{known[-1]:09d}.json", wholetext=True).first()[0])
 
 
-def _commit(spark: SparkSession, path: str, told: dict) -> None:
+def commit(spark: SparkSession, path: str, told: dict) -> None:
     """The next manifest, written aside and renamed; raises if another writer was first."""
     where, files = _files(spark, f"{path}/manifest-{told['version']:09d}.json")
     aside, _ = _files(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
@@ -112,7 +112,7 @@ def create(p: DataFrame, path: str, key: str = "doc_id") -> dict[str, DataFrame]
     spark = p.sparkSession
     known = _versions(spark, path)
     told = {"version": (known[-1] if known else 0) + 1, "key": key, "kind": dict(p.dtypes)[key], "runs": [_write(p, path, key)]}
-    _commit(spark, path, told)
+    commit(spark, path, told)
     return open_index(spark, path)
 
 
@@ -131,7 +131,7 @@ def append(p: DataFrame, path: str) -> dict[str, DataFrame]:
     if replaced or len(runs) > FANOUT:
         kept = old["postings"].join(again, key, "left_anti") if replaced else old["postings"]
         runs = [_write(kept.unionByName(_postings(spark, path, fresh, told["kind"], key)), path, key)]
-    _commit(spark, path, told | {"version": told["version"] + 1, "runs": runs})
+    commit(spark, path, told | {"version": told["version"] + 1, "runs": runs})
     return open_index(spark, path)
 
 
@@ -140,7 +140,7 @@ def compact(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     told = manifest(spark, path)
     if told and len(told["runs"]) > 1:
         run = _write(open_index(spark, path)["postings"], path, told["key"])
-        _commit(spark, path, told | {"version": told["version"] + 1, "runs": [run]})
+        commit(spark, path, told | {"version": told["version"] + 1, "runs": [run]})
     return open_index(spark, path)
 
 

@@ -63,9 +63,9 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     path = str(tmp_path / "ix")
     diskindex.create(postings(spark, {1: "a"}), path)
     known = diskindex.manifest(spark, path)
-    diskindex._commit(spark, path, known | {"version": known["version"] + 1})
+    diskindex.commit(spark, path, known | {"version": known["version"] + 1})
     with pytest.raises(RuntimeError, match="another writer"):
-        diskindex._commit(spark, path, known | {"version": known["version"] + 1, "runs": []})
+        diskindex.commit(spark, path, known | {"version": known["version"] + 1, "runs": []})
     assert diskindex.manifest(spark, path)["runs"] == known["runs"]
 
 
