@@ -40,6 +40,7 @@ from termloom.llm.words import (
     slices,
     split_words,
 )
+from termloom.operators import diskindex
 from termloom.session import scratch_path, ship, written
 
 WINDOW = 35
@@ -53,6 +54,7 @@ PRINTS = (
     "doc_id long, key long, n_words long, sha256 string, "
     "anchor array<long>, content array<long>, start array<int>, n array<int>"
 )
+TEXTS = "doc_id long, text string"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -137,26 +139,63 @@ class FingerprintIndex:
     total counts occurrences, low and high are the least and greatest content hash
     seen with the anchor. Runs only ever get added or replaced by their merger. A
     batch meets every run by a merge join on the buckets, so runs are not shuffled.
+
+    With a path the index lasts: a manifest there names its runs, and the fingerprints
+    and texts of every batch that it has judged, so another session that opens the path
+    goes on where this one ended. A batch counts once its manifest is there; runs that
+    no manifest names any more go by diskindex.vacuum. Nothing stays in a catalog.
     """
 
     SCHEMA = "anchor long, total long, low long, high long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
-        self.spark, self.path, self.fanout = spark, path or scratch_path(spark, "index"), fanout
-        self.runs: list[str] = []
+        self.spark, self.path, self.fanout, self.lasts = spark, path or scratch_path(spark, "index"), fanout, path is not None
+        told = (diskindex.manifest(spark, path) if path else None) or {"version": 0, "runs": [], "buckets": {}, "history": []}
+        self.version, self.runs, self.buckets = told["version"], list(told["runs"]), dict(told["buckets"])
+        self._kept: list[list[str]] = [list(x) for x in told["history"]]
         #: (docs, prints) of what was judged before: later batches are verified against its contents and texts.
-        self.history: list[tuple[DataFrame, DataFrame]] = []
-        self._made = 0
-        self._name = f"termloom_run_{uuid.uuid4().hex}"
+        self.history: list[tuple[DataFrame, DataFrame]] = [
+            (spark.read.schema(TEXTS).parquet(f"{path}/{t}"), spark.read.schema(PRINTS).parquet(f"{path}/{p}")) for t, p in self._kept
+        ]
 
     def _store(self, rows: DataFrame) -> str:
-        name = f"{self._name}_{self._made:06d}"
+        name = f"run-{uuid.uuid4().hex}"
+        table = f"termloom_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         writer = rows.repartition(buckets, "anchor").write.bucketBy(buckets, "anchor").sortBy("anchor")
-        writer.option("path", f"{self.path}/run-{self._made:06d}").saveAsTable(name)
-        self._made += 1
+        writer.option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # its files stay, as they lie at a path of their own
+        self.buckets[name] = buckets
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        """A run with its buckets: a table names them while the plan is made, and goes then."""
+        table = f"termloom_{uuid.uuid4().hex}"
+        at = f"{self.path}/{name}".replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE {table} (anchor BIGINT, total BIGINT, low BIGINT, high BIGINT) USING parquet "
+            f"CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets[name]} BUCKETS LOCATION '{at}'"
+        )
+        try:
+            return self.spark.table(table)
+        finally:
+            self.spark.sql(f"DROP TABLE {table}")
+
+    def stored(self, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """Rows in the index's folder if it lasts, else in scratch; and the folder's name."""
+        name = f"{name}-{uuid.uuid4().hex}"
+        return written(rows, name, f"{self.path}/{name}" if self.lasts else None), name
+
+    def judged(self, docs: DataFrame, prints: DataFrame, prints_name: str) -> None:
+        """A batch counts as history from now on, for this and, if the index lasts, for later sessions."""
+        if self.lasts:
+            docs, texts_name = self.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "texts")
+            self._kept.append([texts_name, prints_name])
+            self.version += 1
+            told = {"version": self.version, "runs": self.runs, "buckets": {r: self.buckets[r] for r in self.runs}, "history": self._kept}
+            diskindex.commit(self.spark, self.path, told)
+        self.history.append((docs, prints))
+
     @staticmethod
     def summed(prints: DataFrame) -> DataFrame:
         """The run of a batch; occurrences are summed before they are shuffled."""
@@ -173,9 +212,9 @@ class FingerprintIndex:
         """All runs as one, merged by anchor; the buckets are those of the runs."""
         if not self.runs:
             return self.spark.createDataFrame([], self.SCHEMA)
-        out = self.spark.table(self.runs[0])
+        out = self._run(self.runs[0])
         for name in self.runs[1:]:
-            other = self.spark.table(name).toDF("anchor", "t", "l", "h")
+            other = self._run(name).toDF("anchor", "t", "l", "h")
             out = out.join(other.hint("merge"), "anchor", "full").select(
                 "anchor",
                 (F.coalesce("total", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("total"),
@@ -342,20 +381,21 @@ def dedup_substrings(
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256.
 
-    With an index that was used before, windows that earlier calls met count too;
-    docs of those calls are read again where a window has to be compared.
+    With an index that was used before, here or, if it has a path, in another session,
+    windows that earlier calls met count too; docs of those calls are read again where a
+    window has to be compared.
 
     Texts are read again only where a part of them goes: the digests of untouched
     texts are known from the first reading, and that of nothing is a constant.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
-    prints = written(fingerprints(docs, window, gram), "prints")
+    prints, prints_name = index.stored(fingerprints(docs, window, gram), "prints")
     for k in range(batches):
         index.add(prints.where(F.pmod("key", F.lit(batches)) == k))
     index.compact()
     runs = repeated_runs(docs, prints, index, window)
-    index.history.append((docs, prints))
+    index.judged(docs, prints, prints_name)
     by_text = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     judged = written(
         prints.select("doc_id", "key", "n_words", "sha256")

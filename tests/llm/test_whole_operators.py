@@ -3,6 +3,7 @@
 import random
 
 from termloom.llm import lines, substrings
+from termloom.operators import diskindex
 
 DOCS = "doc_id long, text string"
 
@@ -50,3 +51,25 @@ def test_batches_meet_the_history_of_an_index(spark):
         # counted over all batches so far, told of the rows of the last one
         want = list(substrings.brute_force(before, 20))[-len(part) :]
         assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_an_index_goes_on_in_another_session(spark, tmp_path):
+    rng = random.Random(8)
+    w = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passages = [w(n) for n in (40, 25, 60)]
+    path, before = f"{tmp_path}/index", []
+    for b in range(3):
+        part = [(10 * b + i, " ".join(w(30) + p + w(30))) for i, p in enumerate(passages)] + [(10 * b + 9, " ".join(w(50)))]
+        if b == 2:
+            part += [before[0], (None, None), (29, "")]
+        other = spark.newSession()
+        index = substrings.FingerprintIndex(other, path)
+        assert len(index.history) == b
+        got = substrings.dedup_substrings(other.createDataFrame(part, DOCS), window=20, gram=5, index=index)
+        before += part
+        want = list(substrings.brute_force(before, 20))[-len(part) :]
+        assert rows_of(got) == sorted(want, key=repr)
+    assert spark.sql("show tables").where("tableName like 'termloom%'").count() == 0
+    held = substrings.FingerprintIndex(spark, path).merged().count()
+    assert diskindex.vacuum(spark, path)
+    assert substrings.FingerprintIndex(spark, path).merged().count() == held
