@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.session import written
 
 
+def swept(spark: SparkSession) -> None:
+    """Drops what finished steps have left: plans on the driver, and broadcasts and shuffles, which Spark removes when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stars(edges: DataFrame) -> bool:
     """Whether edges (u, v), all from larger to smaller, lead each node to a root in one step."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e"))

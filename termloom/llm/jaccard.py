@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.graphs import components
+from termloom.llm.graphs import components, swept
 from termloom.llm.substrings import _only, keyed
 from termloom.llm.words import BASE2, Spans, lower_ascii, mixed, position_in_text, signed, slices, split_words
 from termloom.session import ship, written
@@ -412,6 +412,7 @@ def link_components(members: DataFrame, classes: Classes, percent: int) -> DataF
     tested = roots = None
     pivots = 0
     while True:
+        swept(members.sparkSession)
         left = written(_unresolved(members, roots), "unresolved")
         if left.isEmpty():
             return roots
@@ -447,6 +448,7 @@ def link_components(members: DataFrame, classes: Classes, percent: int) -> DataF
         new = written(verified(pairs, classes, percent), "links")
         if new.isEmpty():
             continue
+        swept(members.sparkSession)
         # the components so far count as stars, so that new links alone take rounds
         known = [] if roots is None else [roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))]
         roots = components(reduce(DataFrame.unionByName, known, new))
@@ -504,6 +506,7 @@ def jaccard_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int
 def one_of_each(docs: DataFrame, *, shingle: int, percent: int) -> DataFrame:
     """docs without all but one document of each component: that of least doc_id, then key."""
     found = written(jaccard_components(docs, shingle=shingle, percent=percent), "components")
+    swept(docs.sparkSession)
     stays = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("m"))
     stays = written(stays.select(F.col("m.key").alias("key")), "stays")
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
