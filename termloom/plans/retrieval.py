@@ -10,6 +10,8 @@ from termloom.operators import candidates as cand
 from termloom.operators import diskindex, hierarchy, index, linking
 from termloom.operators import search as se
 from termloom.plans import sqltext as sq
+from termloom.session import ship
+from termloom.sources import cbor
 from termloom.sources import tables as src
 
 QUERIES: dict = {}
@@ -275,6 +277,40 @@ def section_fold(spark, d):
     return by.agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("n"))
 
 
+def _page_records(spark, d) -> DataFrame:
+    """Pages as records: their sections by heading path, with paragraphs."""
+    pages = src.table(spark, d, "pages")
+    parts = src.outline(pages)
+    tree = hierarchy.open_headings(parts.where("level > 0").drop("html")).select("page_id", "pos", "path")
+    rows = parts.join(tree, ["page_id", "pos"], "left").select("page_id", "pos", F.coalesce("path", F.array(F.lit(""))).alias("path"), "html")
+    par = src.page_paragraphs(rows.select(F.struct("page_id", "pos").alias("page_id"), "html"))
+    made = F.struct("pos", F.struct(F.col("pos").cast("string").alias("id"), "text", F.array().cast("array<string>").alias("links")).alias("p"))
+    by = par.groupBy("page_id").agg(F.sort_array(F.collect_list(made))["p"].alias("paragraphs")).select("page_id.page_id", "page_id.pos", "paragraphs")
+    none = F.array().cast("array<struct<id:string,text:string,links:array<string>>>")
+    whole = rows.join(by, ["page_id", "pos"], "left")
+    section = F.struct("pos", F.struct("path", F.col("pos").cast("string").alias("id"), F.coalesce("paragraphs", none).alias("paragraphs")).alias("s"))
+    sections = whole.groupBy("page_id").agg(F.sort_array(F.collect_list(section))["s"].alias("sections"))
+    links = src.links(pages).groupBy("page_id").agg(F.sort_array(F.collect_set("name")).alias("links"))
+    out = pages.select("page_id", "url").join(sections, "page_id", "left").join(links, "page_id", "left")
+    return out.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("name"), F.create_map(F.lit("links"), F.coalesce("links", F.array().cast("array<string>"))).alias("metadata"), "sections")
+
+
+@query(f"""WITH {_OUTLINE}, {sq.LINKS}, {sq.PAGE_PARS.replace('FROM pages', "FROM (SELECT page_id || '#' || pos AS page_id, html FROM ol)")},
+np AS (SELECT split_part(page_id, '#', 1)::BIGINT AS page_id, count(*) AS n, sum(length(text)) AS c FROM pp GROUP BY ALL), ns AS (SELECT page_id, count(*) AS n FROM ol GROUP BY ALL), nl AS (SELECT page_id, count(DISTINCT name) AS n FROM links GROUP BY ALL)
+SELECT page_id, url AS name, coalesce(ns.n, 0)::BIGINT AS sections, coalesce(np.n, 0)::BIGINT AS paragraphs, coalesce(np.c, 0)::BIGINT AS chars, coalesce(nl.n, 0)::BIGINT AS links FROM pages LEFT JOIN ns USING (page_id) LEFT JOIN np USING (page_id) LEFT JOIN nl USING (page_id)""")
+def cbor_page_scan(spark, d):
+    """Pages written as CBOR records by heading path and scanned again."""
+    ship(spark)
+    spark.dataSource.register(cbor.Pages)
+    path = index.kept_path(spark, [f"{d}/pages.parquet"], "records", lambda at: _page_records(spark, d).write.format("pages_cbor").mode("append").save(at))
+    text = F.aggregate(F.flatten(F.transform("sections", lambda s: s["paragraphs"])), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return spark.read.format("pages_cbor").load(path).select(
+        F.col("page_id").cast("long").alias("page_id"), "name", F.size("sections").cast("long").alias("sections"),
+        F.size(F.flatten(F.transform("sections", lambda s: s["paragraphs"]))).cast("long").alias("paragraphs"), text.alias("chars"),
+        F.size(F.col("metadata")["links"]).cast("long").alias("links"),
+    )
+
+
 @query(f"WITH {sq.LINKS} SELECT page_id, name FROM links GROUP BY ALL")
 def outlinks(spark, d):
     return src.links(src.table(spark, d, "pages")).distinct()
