@@ -95,16 +95,19 @@ def section_link_feature(spark, d):
     return re._pool(spark, d).join(t, "doc_id").groupBy("query_id", "section").agg(F.count("*").cast("double").alias("score"))
 
 
-@query(f"WITH {sq.BASE}, st AS (SELECT source AS section, term, sum(tf) AS tf FROM p JOIN documents USING (doc_id) GROUP BY ALL), z AS (SELECT DISTINCT query_id, section FROM q, (SELECT DISTINCT section FROM st)) SELECT query_id, section, round(sum(ln(coalesce(tf, 0.5) * boost)), 4) + 0.0 AS score FROM z JOIN q USING (query_id) LEFT JOIN st USING (section, term) GROUP BY ALL")
+@query(f"WITH {sq.BASE}, st AS (SELECT source AS section, term, sum(tf) AS tf FROM p JOIN documents USING (doc_id) GROUP BY ALL), z AS (SELECT DISTINCT query_id, section FROM q JOIN st USING (term)) SELECT query_id, section, round(sum(ln(coalesce(tf, 0.5) * boost)), 4) + 0.0 AS score FROM z JOIN q USING (query_id) LEFT JOIN st USING (section, term) GROUP BY ALL")
 def section_distance_feature(spark, d):
-    """Log term overlap of queries with the text of all of a section's documents."""
+    """Log term overlap of queries with the text of all of a section's documents, for sections that have a term of the query.
+
+    Terms that a section lacks count one half; so a section's score is that of a section
+    with none of them, corrected by those that it has.
+    """
     t = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("section"))
     st = re.doc_index(spark, d).p.join(t, "doc_id").groupBy("section", "term").agg(F.sum("tf").alias("tf"))
-    q = re.bench_terms(spark, d)
-    # sections are a small dimension; each stated query scores each of them
-    z = q.select("query_id").distinct().join(F.broadcast(t.select("section").distinct()), F.lit(True))
-    rows = z.join(q.select("query_id", "term", "boost"), "query_id").join(st, ["section", "term"], "left")
-    return rows.groupBy("query_id", "section").agg(r(F.sum(F.ln(F.coalesce(F.col("tf").cast("double"), F.lit(0.5)) * F.col("boost"))), 4).alias("score"))
+    q = re.bench_terms(spark, d).select("query_id", "term", "boost")
+    none = q.groupBy("query_id").agg(F.sum(F.ln(0.5 * F.col("boost"))).alias("none"))
+    met = q.join(st, "term").groupBy("query_id", "section").agg(F.sum(F.ln(F.col("tf")) - F.ln(F.lit(0.5))).alias("more"))
+    return met.join(none, "query_id").select("query_id", "section", r(F.col("none") + F.col("more"), 4).alias("score"))
 
 
 @query(f"WITH {sq.BASE}, {re._SENT}, {re._POOL}, sp AS (SELECT source AS section, doc_id, tf / sum(tf) OVER (PARTITION BY source) AS f, term FROM p JOIN documents USING (doc_id)), g AS (SELECT section, term, sum(f) AS f FROM sp GROUP BY ALL) SELECT section, term, round(f, 9) AS share FROM g")
@@ -116,11 +119,14 @@ def section_pullback(spark, d):
     return shares.select("section", "term", r("f", 9).alias("share"))
 
 
-@query(f"WITH {rk._EDGES} , z AS (SELECT query_id, doc_id, (score - avg(score) OVER (PARTITION BY query_id)) / nullif(sqrt(var_pop(score) OVER (PARTITION BY query_id) * count(*) OVER (PARTITION BY query_id)), 0) AS c FROM pool) SELECT query_id, doc_id::VARCHAR AS id, round(coalesce(c, 0), 5) + 0.0 AS norm FROM z")
+@query(f"WITH {rk._EDGES}, al AS (SELECT query_id, doc_id::VARCHAR AS id, 'paragraph' AS kind, score FROM pool UNION ALL SELECT query_id, name, 'entity', round(sum(score), 4) FROM pool JOIN (SELECT DISTINCT doc_id, name FROM m) USING (doc_id) GROUP BY ALL), z AS (SELECT query_id, id, kind, (score - avg(score) OVER (PARTITION BY query_id)) / nullif(sqrt(var_pop(score) OVER (PARTITION BY query_id) * count(*) OVER (PARTITION BY query_id)), 0) AS c FROM al) SELECT query_id, id, kind, round(coalesce(c, 0), 5) + 0.0 AS norm FROM z")
 def renormalised_features(spark, d):
-    """Raw values normalised anew over a combined list of candidates of all kinds."""
-    pooled = re._pool(spark, d).select("query_id", F.col("doc_id").cast("string").alias("id"), F.lit("f").alias("feature"), F.col("score").alias("raw"))
-    return sc.normalised(pooled).select("query_id", "id", r("norm").alias("norm"))
+    """Raw values normalised anew over one list of candidates of all kinds: pooled documents, and the entities they mention with the sum of their scores."""
+    pool = re._pool(spark, d)
+    own = pool.select("query_id", F.col("doc_id").cast("string").alias("id"), F.lit("paragraph").alias("kind"), F.col("score").alias("raw"))
+    named = pool.join(re._mentions(spark, d).select("doc_id", "name").distinct(), "doc_id").groupBy("query_id", "name").agg(F.round(F.sum("score"), 4).alias("raw"))
+    both = own.unionByName(named.select("query_id", F.col("name").alias("id"), F.lit("entity").alias("kind"), "raw")).withColumn("feature", F.lit("f"))
+    return sc.normalised(both).select("query_id", "id", "kind", r("norm").alias("norm"))
 
 
 @query(f"WITH {sq.BASE}, t AS ({sq.top(re._sum(sq.scored()), 10)}), x AS (SELECT query_id, source AS name, max(score) AS score FROM t JOIN documents USING (doc_id) GROUP BY ALL) SELECT query_id::VARCHAR AS query, 'enwiki:' || replace(name, '_', '%20') AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank, score, 'Entity' AS tag FROM x")

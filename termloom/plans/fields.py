@@ -308,20 +308,19 @@ def section_retrieval(spark, d):
 
 _NEIGHBOURS = (
     f"{sq.LINES}, nt AS ({sq.tok('par', 'doc_id, pos')}), ns AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM nt GROUP BY ALL), "
-    "nk AS (SELECT DISTINCT doc_id, pos FROM nt), fp AS (SELECT 'neighbor_unigrams' AS field, nk.doc_id * 100000 + pos AS doc_id, term, tf FROM nk JOIN ns USING (doc_id)), "
+    "nk AS (SELECT DISTINCT doc_id, pos FROM nt), fp AS (SELECT 'neighbor_unigrams' AS field, nk.doc_id || '-' || pos AS doc_id, term, tf FROM nk JOIN ns USING (doc_id)), "
     f"{field_tables('f')}"
 )
 
 
 @query(f"WITH {_NEIGHBOURS}, {_ITEMS}, {gram_query('q', 'items', {'neighbor_unigrams': 1.0})} {sq.top(_sum(scored('q')), 100)}")
 def neighbour_retrieval(spark, d):
-    """The 15 most frequent terms on the postings that paragraphs have of their sections; a paragraph is doc_id * 100000 + pos."""
+    """The 15 most frequent terms on the postings that paragraphs have of their sections; a paragraph is doc_id-pos."""
 
     def made():
-        par = src.paragraphs(re.docs(spark, d)).withColumn("pid", F.col("doc_id") * 100000 + F.col("pos"))
-        p = index.postings(par, key="pid").withColumn("doc_id", F.floor(F.col("pid") / 100000))
-        n = index.neighbor_postings(p).select(F.lit("neighbor_unigrams").alias("field"), F.col("pid").alias("doc_id"), "term", "tf")
-        return n
+        par = src.paragraphs(re.docs(spark, d)).withColumn("key", F.struct("doc_id", "pos"))
+        p = index.postings(par, key="key").select("field", "key.doc_id", F.concat_ws("-", "key.doc_id", "key.pos").alias("pid"), "term", "tf")
+        return index.neighbor_postings(p).select(F.lit("neighbor_unigrams").alias("field"), F.col("pid").alias("doc_id"), "term", "tf")
 
     ix = se.Index.stored(index.stored(spark, f"{d}/documents.parquet", "neighbours", made), None)
     return ix.search(se.gram_terms(items(spark, d), {"neighbor_unigrams": 1.0}), 100, digits=4)

@@ -49,11 +49,12 @@ _LIKE = "round(sum(CASE WHEN coalesce(tf, 0) + coalesce(cf, 0) * 2 > 0 THEN ln((
 
 
 def _likelihood(spark, d, field="unigram", grams=None):
-    p = index.postings(re.docs(spark, d), fields=(field,))
-    ix = se.Index(p, field)
+    """The likelihood on the stored index of a field."""
+    made = lambda: index.postings(re.docs(spark, d), fields=(field,))
+    ix = se.Index.stored(re.stored_postings(spark, d) if field == "unigram" else index.stored(spark, f"{d}/documents.parquet", f"documents-{field}", made), field)
     cf = ix.terms.crossJoin(F.broadcast(ix.field)).select("term", (F.col("ttf") / F.col("sum_ttf")).alias("cf"))
     q = re.bench_terms(spark, d, terms=index.GRAMS[field](tx.tokens("text")))
-    return fe.likelihood(re._pool(spark, d), q, ix.p, cf, ix.lengths)
+    return fe.likelihood(re._pool(spark, d), q, ix.p.select("doc_id", "term", "tf"), cf, ix.lengths)
 
 
 @query(f"WITH {_POOL}, cf AS (SELECT term, ttf / total AS cf FROM ts CROSS JOIN fs) SELECT query_id, doc_id, {_LIKE} AS score FROM pool JOIN q USING (query_id) LEFT JOIN p USING (doc_id, term) LEFT JOIN cf USING (term) LEFT JOIN dl USING (doc_id) GROUP BY ALL")
@@ -77,7 +78,18 @@ def sdm_feature(spark, d):
     return fe.weighted_sum(parts).select("query_id", "doc_id", r("score", 4).alias("score"))
 
 
-@query()
+def _windows_sql(name: str, table: str, key: str) -> str:
+    """Postings of terms with each of the next eight, in both orders."""
+    ahead = " UNION ALL ".join(f"SELECT {key}, term, lead(term, {k}) OVER (PARTITION BY {key} ORDER BY i) AS n FROM {name}t" for k in range(1, 9))
+    return (
+        f"{name}t AS MATERIALIZED (SELECT {key}, unnest(range(len(t))) AS i, unnest(t) AS term FROM (SELECT {key}, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM {table})), "
+        f"{name} AS MATERIALIZED (SELECT {key}, g AS term, count(*) AS tf FROM (SELECT {key}, unnest([term || n, n || term]) AS g FROM ({ahead}) WHERE n IS NOT NULL) GROUP BY ALL)"
+    )
+
+
+@query(f"""WITH {_POOL}, {_windows_sql('wp', 'documents', 'doc_id')}, {_windows_sql('wq', 'benchmark', 'item_id')}, wdl AS (SELECT doc_id, sum(tf) AS dl FROM wp GROUP BY ALL), wcf AS (SELECT term, sum(tf) / (SELECT sum(tf) FROM wp) AS cf FROM wp GROUP BY ALL)
+SELECT query_id, doc_id, round(sum(CASE WHEN coalesce(wp.tf, 0) + coalesce(cf, 0) * 2 > 0 THEN ln((coalesce(wp.tf, 0) + coalesce(cf, 0) * 2) / (coalesce(dl, 0) + 2)) ELSE 0 END) * -0.0011, 5) + 0.0 AS score
+FROM pool JOIN wq ON wq.item_id = query_id LEFT JOIN wp USING (doc_id, term) LEFT JOIN wcf USING (term) LEFT JOIN wdl USING (doc_id) GROUP BY ALL""")
 def sdm_windowed_feature(spark, d):
     out = _likelihood(spark, d, "bigram_windows")
     return out.select("query_id", "doc_id", r(F.col("score") * fe.SDM["bigram_windows"]).alias("score"))

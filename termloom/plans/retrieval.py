@@ -569,12 +569,12 @@ def filtered_query(spark, d):
     return ix.search(bench_terms(spark, d), 10, digits=4, among=ix.holding(must))
 
 
-@query(f"WITH {sq.BASE}, s AS ({_sum(sq.scored())}), c AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM q), labels) SELECT c.query_id, c.doc_id, round(coalesce(score, 0), 4) + 0.0 AS score FROM c LEFT JOIN s USING (query_id, doc_id)")
+@query(f"WITH {sq.BASE}, s AS ({_sum(sq.scored())}) SELECT query_id, doc_id, round(score, 4) + 0.0 AS score FROM s SEMI JOIN labels USING (doc_id)")
 def explain_candidates(spark, d):
-    ids = src.table(spark, d, "labels").select("doc_id")
-    # the query side is the benchmark, a stated set; each of its items scores every labelled document
-    c = bench(spark, d).select("query_id").join(ids, F.lit(True))
-    return doc_index(spark, d).explain(bench_terms(spark, d), c).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    """The scores of labelled documents for every item, however low; a document that no term of an item hits scores 0 and is left out."""
+    found = doc_index(spark, d).search(bench_terms(spark, d), None)
+    labelled = found.join(src.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return labelled.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 _TOP = sq.top(_sum(sq.scored()), 20)
