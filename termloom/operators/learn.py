@@ -218,6 +218,50 @@ def product(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.aggregate("features", F.lit(1.0), lambda a, x: a * x))
 
 
+def with_bases(rows: DataFrame) -> DataFrame:
+    """Features as elements: a value, the one before, a base, and scores down a column and along a row, all of them the value at first."""
+    element = lambda x: F.struct(*[x.cast("double").alias(k) for k in ("value", "last", "base", "vertical", "horizontal")])
+    return rows.withColumn("features", F.transform("features", element))
+
+
+def each_element(rows: DataFrame, f: Callable) -> DataFrame:
+    """f(element, index) in place of every element."""
+    return rows.withColumn("features", F.transform("features", f))
+
+
+def rescored(rows: DataFrame, f: Callable) -> DataFrame:
+    """value becomes f(index, value, base); the one before is kept."""
+    return each_element(rows, lambda x, i: x.withField("last", x["value"]).withField("value", f(i, x["value"], x["base"]).cast("double")))
+
+
+def rescored_down(rows: DataFrame, f: Callable) -> DataFrame:
+    """vertical becomes f(index, vertical, base)."""
+    return each_element(rows, lambda x, i: x.withField("vertical", f(i, x["vertical"], x["base"]).cast("double")))
+
+
+def rescored_along(rows: DataFrame, f: Callable) -> DataFrame:
+    """horizontal becomes f(index, the product of the row's horizontal scores, base)."""
+    total = F.aggregate("features", F.lit(1.0), lambda a, x: a * x["horizontal"])
+    return each_element(rows.withColumn("_total", total), lambda x, i: x.withField("horizontal", f(i, F.col("_total"), x["base"]).cast("double"))).drop("_total")
+
+
+def based_on_value(rows: DataFrame) -> DataFrame:
+    """The values so far become the bases."""
+    return each_element(rows, lambda x, i: x.withField("base", x["value"]))
+
+
+def with_share(rows: DataFrame) -> DataFrame:
+    """One feature more: one over the rows of the query."""
+    return rows.withColumn("features", F.concat("features", F.array(1.0 / F.count(F.lit(1)).over(Window.partitionBy("qid")))))
+
+
+def with_inverse_shares(rows: DataFrame, n: int) -> DataFrame:
+    """As many features more: of each one the share of its inverse among those of the query, 0 where that isn't finite."""
+    inverse = [F.try_divide(F.lit(1.0), F.get("features", F.lit(i))) for i in range(n)]
+    shares = [stats.finite(F.try_divide(x, F.sum(x).over(Window.partitionBy("qid")))) for x in inverse]
+    return rows.withColumn("features", F.concat("features", F.array(*shares)))
+
+
 # -- gradients and stochastic searches ---------------------------------------------
 
 

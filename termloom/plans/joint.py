@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import stats
+from termloom.functions import text as tx
 from termloom.operators import candidates as cand
 from termloom.operators import index, keystore, learn, nearest, trie
 from termloom.operators import scores as sc
@@ -318,6 +319,14 @@ def joint_objective(spark, d):
     return sc.marginal(weights, cells).select("query_id", F.col("col").alias("doc_id"), r(F.ln("score"), 6).alias("log_score"))
 
 
+@query(f"WITH {sq.LINKS}, n AS (SELECT DISTINCT name FROM links), c AS (SELECT DISTINCT page_id::VARCHAR || ' ' || name AS context, name FROM links WHERE length(name) > 3) SELECT n.name, context, 1.0::DOUBLE AS w FROM n JOIN c ON lower(n.name) = lower(c.name)")
+def entity_context_edges(spark, d):
+    """Edges of weight 1 from entities to all their contexts, names compared without case."""
+    names = src.links(src.table(spark, d, "pages")).select("name").distinct()
+    contexts = fl.named_pages(spark, d).select(F.concat_ws(" ", F.col("page_id").cast("string"), "name").alias("context"), F.lower("name").alias("_key"))
+    return names.withColumn("_key", F.lower("name")).join(contexts, "_key").select("name", "context", F.lit(1.0).alias("w"))
+
+
 #: Entity features: mentions among the pool and pages that link the name; compatibilities: a document's share of mentions, and that the name is its most frequent.
 _TRAIN = f"""{_LINKED}, {re._QRELS}, pg AS (SELECT name, count(DISTINCT page_id) AS pages FROM links GROUP BY ALL), ent AS (SELECT query_id, ef.name, ln(1 + f) AS f0, ln(1 + pages) AS f1 FROM ef JOIN pg USING (name)),
 sz AS (SELECT doc_id, name, n / sum(n) OVER (PARTITION BY doc_id) AS share, n / max(n) OVER (PARTITION BY doc_id) AS top FROM m), cell AS (SELECT pool.query_id, pool.doc_id, ent.name, coalesce(share, 0) AS g0, coalesce(top, 0) AS g1 FROM pool SEMI JOIN rels USING (query_id, doc_id) JOIN ent USING (query_id) LEFT JOIN sz USING (doc_id, name))"""
@@ -494,6 +503,14 @@ def feature_dump(spark, d):
     return line(docs, 0, "PARAGRAPH").unionByName(line(f, 1000, "ENTITY"))
 
 
+@query(f"""WITH {sq.LINES}, t AS (SELECT doc_id, pos, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM par), g AS (SELECT doc_id, pos, t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1]) ELSE [] END AS b FROM t)
+SELECT doc_id || '-' || pos || chr(9) || array_to_string(t, ' ') || chr(9) || array_to_string(b, ' ') AS value FROM g WHERE len(t) > 0""")
+def extraction_lines(spark, d):
+    """Extraction rows of paragraphs: identifier, tokens and bigrams, apart by tabs."""
+    par = src.paragraphs(re.docs(spark, d)).select("pid", F.explode(F.array(tx.tokens("text"))).alias("t")).where(F.size("t") > 0)
+    return sinks.extraction_rows(par.select("pid", "t", tx.bigrams("t").alias("b")))
+
+
 @query(f"WITH {sq.BASE}, {re._MENTIONS} SELECT doc_id || chr(9) || string_agg(name || ':' || n, ' ' ORDER BY name) AS value FROM m GROUP BY doc_id")
 def annotation_lines(spark, d):
     """A line a document: its entities and how often it mentions each, tab-separated."""

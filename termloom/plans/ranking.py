@@ -356,6 +356,27 @@ def l2r_product_score(spark, d):
     return learn.product(rows).select("id", r("score", 4).alias("score"))
 
 
+_ROWS = "x AS (SELECT source, doc_id, n_chars + 1.0::DOUBLE AS a, quality + 0.5::DOUBLE AS b, toxic + 2.0::DOUBLE AS c FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {_ROWS} SELECT doc_id AS id, round(a, 4) AS v0, round(b * 2, 4) AS v1, round(c * 3, 4) AS v2, round(a * b * c + 2 * b, 4) AS h1, round(b + a, 4) AS d1, round((1 / a) / sum(1 / a) OVER (PARTITION BY source), 9) AS inverse, round(1.0::DOUBLE / count(*) OVER (PARTITION BY source), 9) AS share FROM x")
+def l2r_row_transforms(spark, d):
+    """Elements rescored by value, down their column and along their row, on new bases; inverse shares and even shares of a query."""
+    t = src.table(spark, d, "documents").join(src.table(spark, d, "labels"), "doc_id")
+    features = F.array(F.col("n_chars") + F.lit(1.0), F.col("quality") + F.lit(0.5), F.col("toxic") + F.lit(2.0))
+    rows = t.select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), features.alias("features"))
+    first = rows.withColumn("first", F.get("features", F.lit(0)))
+    more = learn.with_share(learn.with_inverse_shares(first, 3)).withColumn("more", F.slice("features", 4, 4)).withColumn("features", F.slice("features", 1, 3))
+    e = learn.based_on_value(learn.rescored(learn.with_bases(more), lambda i, value, base: value * (i + 1)))
+    e = learn.rescored_down(e, lambda i, value, base: value + F.col("first"))
+    e = learn.rescored_along(e, lambda i, total, base: total + base)
+    at = lambda k, name: r(F.get("features", F.lit(k))[name], 4)
+    return e.select(
+        "id", *[at(k, "value").alias(f"v{k}") for k in range(3)], at(1, "horizontal").alias("h1"), at(1, "vertical").alias("d1"),
+        r(F.get("more", F.lit(0)), 9).alias("inverse"), r(F.get("more", F.lit(3)), 9).alias("share"),
+    )
+
+
 # -- graphs ---------------------------------------------------------------------------
 
 _G = f"t AS (SELECT item_id, regexp_extract_all(lower(text), '{sq.TOKEN}') AS t FROM benchmark), e AS (SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT t[i] AS src, t[i + 1] AS dst FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t WHERE len(t) > 1)) WHERE src <> dst GROUP BY ALL)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,27 @@ def ranklib_lines(features: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def extraction_rows(rows: DataFrame) -> DataFrame:
+    """Lines of columns apart by tabs: arrays by spaces, tabs and line ends in texts as spaces, nulls as nothing."""
+    cells = []
+    for name, kind in rows.dtypes:
+        text = F.array_join(name, " ") if kind.startswith("array") else F.col(name).cast("string")
+        cells.append(F.coalesce(F.regexp_replace(text, r"[\t\r\n]", " "), F.lit("")))
+    return rows.select(F.array_join(F.array(*cells), "\t").alias("value"))
+
+
+def weight_lines(spark: SparkSession, weights: list[float], about: str = "") -> DataFrame:
+    """A model file: what it is about, then numbered weights on its last line."""
+    numbered = " ".join(f"{i}:{float(w)!r}" for i, w in enumerate(weights, 1))
+    head = [f"## {x}" for x in about.splitlines()]
+    return spark.createDataFrame([("\n".join([*head, numbered]),)], "value string")
+
+
+def subset_lines(spark: SparkSession, features: list[int]) -> DataFrame:
+    """A file of chosen features, a number a line."""
+    return spark.createDataFrame([("\n".join(map(str, features)),)], "value string")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

@@ -124,3 +124,21 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """topic, text of a folder of topic folders of text files."""
     raw = spark.read.text(f"{path}/*/*", wholetext=True).select(F.input_file_name().alias("f"), F.col("value").alias("text"))
     return raw.select(F.regexp_extract("f", r"([^/]+)/[^/]+$", 1).alias("topic"), "text")
+
+
+def read_weights(spark: SparkSession, path: str) -> list[float]:
+    """The weights of a model file: the numbered pairs of its last line that has any, in their order."""
+    whole = spark.read.text(path, wholetext=True).orderBy(F.input_file_name())
+    pair = r"(?m)^\s*\d+:\S+(?: +\d+:\S+)*\s*$"
+    last = F.element_at(F.regexp_extract_all("value", F.lit(pair), F.lit(0)), -1)
+    found = whole.where(F.regexp_count("value", F.lit(pair)) > 0).select(F.transform(F.regexp_extract_all(last, F.lit(r":(\S+)")), lambda x: x.cast("double")).alias("w"))
+    rows = found.collect()  # a row a file
+    return list(rows[-1]["w"]) if rows else []
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(fold, train, test, mean) of a training log: lines of MAP come in pairs, a pair a fold, from 1."""
+    values = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^MAP on[^:\n]*:\s*([-0-9.eE]+)")), lambda x: x.cast("double"))
+    rows = spark.read.text(path, wholetext=True).select(values.alias("v"))
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("v") / 2).cast("int")), lambda k: F.struct(k.alias("fold"), F.get("v", 2 * k - 2).alias("train"), F.get("v", 2 * k - 1).alias("test")))
+    return rows.where(F.size("v") > 1).select(F.explode(pairs).alias("p")).select("p.*", ((F.col("p.train") + F.col("p.test")) / 2).alias("mean"))

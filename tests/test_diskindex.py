@@ -108,6 +108,18 @@ def test_readers_of_text_files(spark, tmp_path):
     assert [x for x in got if x[1]] == [("t1", "one\ntwo"), ("t1", "three")]
 
 
+def test_weights_subsets_and_logs(spark, tmp_path):
+    sinks.write_lines(sinks.weight_lines(spark, [0.5, -1e-7, 3.0], "a model\nof three"), f"{tmp_path}/model")
+    assert src.read_weights(spark, f"{tmp_path}/model") == [0.5, -1e-7, 3.0]
+    sinks.write_lines(sinks.subset_lines(spark, [4, 2]), f"{tmp_path}/subset")
+    assert sorted(int(r[0]) for r in spark.read.text(f"{tmp_path}/subset").collect()) == [2, 4]
+    (tmp_path / "log").write_text("Fold 1\nMAP on training data: 0.4\nMAP on test data: 0.2\nx\nMAP on training data: 0.6\nMAP on test data: 0.5\n")
+    got = [tuple(r) for r in src.read_log(spark, f"{tmp_path}/log").orderBy("fold").collect()]
+    assert got == [(1, 0.4, 0.2, pytest.approx(0.3)), (2, 0.6, 0.5, pytest.approx(0.55))]
+    rows = spark.createDataFrame([("p1", "a\tb\nc", ["x", "y"]), (None, None, None)], "id string, t string, l array<string>")
+    assert [r[0] for r in sinks.extraction_rows(rows).collect()] == ["p1\ta b c\tx y", "\t\t"]
+
+
 def test_one_row_of_each_name_is_picked_by_its_seed(spark):
     rows = [(q, n, i) for q in "ab" for n in "xy" for i in range(4)]
     df = spark.createDataFrame(rows, "query string, name string, id long")
