@@ -364,3 +364,55 @@ def test_regions_hold_whole_articles(make):
     assert [extract.extract(p, wrapper) for p in pages] == [x for _, x in parts]
     assert extract.extract(pages[0] + " " * 500_000, wrapper) == parts[0][1]  # very long
     assert json.dumps(extract.induce(pages * 3)) == wrapper  # repeated pages count once
+
+
+# 5 ----------------------------------------------------------------------------
+
+
+def test_toxicity_by_brute_force(spark):
+    """Samples, counts, choice of features, pairs and scores, text by text; the fit itself has a test of its gradient."""
+    import re
+
+    from termloom.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    h = {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in docs], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(5))).collect()}
+    split = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
+    pairs = {d: toxicity.counterfactuals(t, h[d] & 0xFF) for d, t in docs.items()}
+    words = sorted({w for t in [*docs.values(), *(x for ps in pairs.values() for p in ps for x in p)] for w in split(t)})
+    ids, letters = toxicity.word_features(pa.array(words))
+    known = {w: set(i) if x else None for w, i, x in zip(words, ids.tolist(), letters, strict=True)}
+
+    def rates(text):
+        told = [known[w] for w in split(text)]
+        told = [x for x in told if x is not None]
+        return {f: n / (len(told) + 20) for f, n in Counter(f for x in told for f in x).items()}
+
+    taught = [d for d in docs if d in labels and labels[d] in (0, 1) and zlib.crc32(str(d).encode()) % 3 != 1]
+    by_text = {d: rates(t) for d, t in docs.items()}
+    n = Counter(labels[d] for d in taught)
+    seen = {y: Counter(f for d in taught if labels[d] == y for f in by_text[d]) for y in (0, 1)}
+    gaps = {}
+    for f in seen[0].keys() | seen[1].keys():
+        a, b = seen[0][f], seen[1][f]
+        p = (a + b) / (n[0] + n[1])
+        if a + b >= 3:
+            gaps[f] = abs(b / n[1] - a / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[1] + 1 / n[0]))
+    chosen = np.array(sorted((f for f in gaps if gaps[f] >= 4.0), key=lambda f: (-gaps[f], f))[:4000])
+    place = {f: k for k, f in enumerate(chosen.tolist())}
+
+    def row(r):
+        some = sorted((place[f], x) for f, x in r.items() if f in place)
+        return np.array([k for k, _ in some], int), np.array([x for _, x in some], "f4")
+
+    pairs = [p for d in taught for p in pairs[d]]
+    assert chosen.size and pairs
+    model = toxicity.fit([(labels[d], *row(by_text[d])) for d in taught], [(*row(rates(a)), *row(rates(b))) for a, b in pairs], chosen)
+    got = {r["doc_id"]: r for r in toxicity.op5_counterfactual_toxicity(spark, sf).collect()}
+    for d, r in by_text.items():
+        want = 1 / (1 + math.exp(-(model.bias + sum(model.weights[f] * x for f, x in r.items()))))
+        assert got[d]["score"] == pytest.approx(want, abs=2e-3)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1)
+        assert got[d]["predicted"] == int(got[d]["score"] >= 0.7)
