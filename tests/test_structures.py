@@ -367,3 +367,19 @@ def test_prefix_scans_read_their_range_alone(spark, tmp_path, monkeypatch):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key,by)" in plan and "LessThan(key,bz)" in plan
     assert keystore.after("\U0010ffff") is None and keystore.after("a\U0010ffff") == "b" and keystore.after("퟿") == ""
+
+
+# -- stems -----------------------------------------------------------------------------
+
+
+def test_stemmed_terms_are_counted_by_stem(spark):
+    from termloom.functions import text as tx
+    from termloom.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    want = Counter(tx.stem(w) for t in texts for w in re.findall(r"[^\W_]+", (t or "").lower()))
+    got = {r["stem"]: r["n"] for r in catalog.QUERIES["stemmed_terms"](spark, sf).collect()}
+    odd = {s for s in want.keys() | got.keys() if want.get(s) != got.get(s)}
+    # Python's word characters and the tokens' letters and digits differ in marks alone
+    assert not {s for s in odd if s.isascii()}
