@@ -138,13 +138,15 @@ def entity_run(spark, d):
     return sinks.run_rows(rows, tag="Entity", best=True, encode=True)
 
 
-@query()
+@query(f"""WITH {sq.BASE}, t AS ({sq.top(re._sum(sq.scored()), 50)}), w AS (SELECT query_id, source AS section, doc_id, score FROM t JOIN documents USING (doc_id)), s AS (SELECT query_id, section, round(sum(score), 4) AS score FROM w GROUP BY ALL),
+b AS (SELECT query_id, section, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section) AS k FROM s), x AS (SELECT query_id, section, k, doc_id, row_number() OVER (PARTITION BY query_id, section ORDER BY w.score DESC, doc_id::VARCHAR) AS place FROM w JOIN b USING (query_id, section) WHERE k <= 5)
+SELECT query_id AS query, k::INT AS rank, '<h2>' || section || '</h2>' || string_agg('<p>' || doc_id || '</p>', '' ORDER BY place) AS html FROM x WHERE place <= 5 GROUP BY query_id, k, section""")
 def section_report(spark, d):
     """HTML blocks of each query's five best sources with five documents each."""
     found = re.doc_index(spark, d).search(re.bench_terms(spark, d), 50, digits=4)
     t = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("section"))
     rows = found.join(t, "doc_id").select(F.col("query_id").alias("query"), "section", F.col("doc_id").cast("string").alias("paragraph"), F.col("score").alias("weight"))
-    sections = rows.groupBy("query", "section").agg(F.sum("weight").alias("score"))
+    sections = rows.groupBy("query", "section").agg(F.round(F.sum("weight"), 4).alias("score"))
     return sinks.report(sections, rows)
 
 
